@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.keys import key, sql_key
 from tapeloom.functions.times import iso_micros, sql_iso_micros
-from tapeloom.llm import encode, nearest
+from tapeloom.llm import encode, garble, nearest
 from tapeloom.sources.tables import table
 
 TOLERANCE_US = 600_000_000
@@ -51,5 +51,14 @@ def p8_ids(spark: SparkSession, at: str) -> DataFrame:
     return encode.token_ids(table(spark, at, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_hour_pairs": p7_hour_pairs, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, at: str) -> DataFrame:
+    return garble.garbled(table(spark, at, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, at: str) -> DataFrame:
+    """The garbled pages with what was wrong with them and their restored text."""
+    return garble.garbled(table(spark, at, "documents"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_hour_pairs": p7_hour_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL = {"p7_found": P7_SQL, "p7_hour_pairs": P7_WIDE_SQL}
