@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.keys import key, sql_key
 from tapeloom.functions.times import iso_micros, sql_iso_micros
-from tapeloom.llm import encode, garble, nearest
+from tapeloom.llm import encode, garble, leak, nearest
 from tapeloom.sources.tables import table
 
 TOLERANCE_US = 600_000_000
@@ -51,6 +51,16 @@ def p8_ids(spark: SparkSession, at: str) -> DataFrame:
     return encode.token_ids(table(spark, at, "documents"))
 
 
+def p9_found(spark: SparkSession, at: str) -> DataFrame:
+    return leak.leaked(table(spark, at, "documents"), table(spark, at, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, at: str) -> DataFrame:
+    """Which items leaked, into how many pages, and the longest stretch of words."""
+    cases = leak.leaked(table(spark, at, "documents"), table(spark, at, "eval_items"))
+    return cases.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("n_words").alias("most_words"))
+
+
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
     return garble.garbled(table(spark, at, "documents")).select("doc_id")
 
@@ -60,5 +70,5 @@ def p10_restored(spark: SparkSession, at: str) -> DataFrame:
     return garble.garbled(table(spark, at, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_hour_pairs": p7_hour_pairs, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p7_found": p7_found, "p7_hour_pairs": p7_hour_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL = {"p7_found": P7_SQL, "p7_hour_pairs": P7_WIDE_SQL}
