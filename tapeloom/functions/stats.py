@@ -17,10 +17,11 @@ def pct_linear(x: Column | str, p: float) -> Column:
 
 
 def order_statistic(df: DataFrame, keys: list[str], x: str, index: Column, out: str) -> DataFrame:
-    """The ``index``-th (from 0, may use n) smallest x of each key: (keys, n, out); rows are ranked, not gathered."""
+    """The ``index``-th (from 0, may use n) smallest x of each key: (keys, n, out). Equal values are counted before anything is sorted."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(x).isNotNull()).select(*keys, x).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(x)) - 1)
-    return ranked.where(F.col("r") == index).select(*keys, "n", F.col(x).alias(out))
+    placed = counted.withColumn("n", F.sum("m").over(w)).withColumn("upto", F.sum("m").over(w.orderBy(x)))
+    return placed.where((index < F.col("upto")) & (index >= F.col("upto") - F.col("m"))).select(*keys, "n", F.col(x).alias(out))
 
 
 def floor_index(p: float) -> Column:
@@ -41,10 +42,25 @@ def robust_z(df: DataFrame, keys: list[str], x: str, floor: float = 1e-3) -> Dat
     return placed.join(spread, keys).withColumn("z", (F.col(x) - F.col("middle")) / F.greatest(F.col("mad") * 1.4826, F.lit(floor))).drop("middle", "mad")
 
 
+def running_total(df: DataFrame, by: str, value: Column, out: str, parts: int = 256) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` over all rows with at most this row's ``by``, which must be a distinct number in each.
+
+    Rows are cut into ``parts`` by estimated quantiles (a bounded number of them goes to the
+    driver), summed per part, and sorted within parts only; the sums are exact wherever the cuts lie.
+    """
+    cuts = df.stat.approxQuantile(by, [k / parts for k in range(1, parts)], 1 / (2 * parts))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    rows = df.withColumn("__part", part).withColumn("__value", value)
+    sums = rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    base = sums.select("__part", F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__base"))  # a row per part
+    here = F.sum("__value").over(Window.partitionBy("__part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(base), "__part").withColumn(out, here + F.coalesce("__base", F.lit(0))).drop("__part", "__value", "__base")
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, q: float) -> DataFrame:
-    """Adds kept: the step-up rule at level q. Ranks are counted by value from one row per distinct p, so nothing is sorted in one task but distinct values."""
+    """Adds kept: the step-up rule at level q; ranks come from one row per distinct p."""
     per = tests.groupBy(p).agg(F.count(F.lit(1)).alias("m"))
-    sized = per.withColumn("upto", F.sum("m").over(Window.orderBy(p)))
+    sized = running_total(per.where(F.col(p).isNotNull()), p, F.col("m"), "upto")
     total = tests.agg(F.count(F.lit(1))).scalar()
     limit = sized.where(F.col(p) <= F.col("upto") * q / total).agg(F.max(p)).scalar()
     return tests.withColumn("kept", F.coalesce(F.col(p) <= limit, F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.stats import running_total
+
 #: Seed and defaults of the resampling.
 SEED, SAMPLES = 42, 200
 
@@ -17,12 +19,12 @@ def drawn(b: Column, s: Column, n: Column) -> Column:
 def cluster_bootstrap(values: DataFrame, unit: str, value: str, samples: int = SAMPLES) -> DataFrame:
     """(n_units, total, n, low, high): the pooled mean's 95 % interval over resampled units, as order statistics.
 
-    ``value`` must hold whole numbers. Units are reduced to sum and count first, and numbered in
+    ``value`` must hold whole numbers and ``unit`` numbers. Units are reduced to sum and count first, and numbered in
     their order; each sample draws as many units as there are, so work is samples x units, joined
     on the unit's number.
     """
     per = values.where(F.col(unit).isNotNull() & F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    numbered = per.withColumn("i", (F.row_number().over(Window.orderBy(unit)) - 1).cast("bigint"))  # a row per unit
+    numbered = running_total(per, unit, F.lit(1), "i").withColumn("i", (F.col("i") - 1).cast("bigint"))
     total = per.agg(F.count(F.lit(1)).alias("n_units"), F.sum("s").alias("total"), F.sum("c").alias("n"))
     draws = numbered.select(F.col("i").alias("place"), per.agg(F.count(F.lit(1))).scalar().alias("n_units")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
     draws = draws.select("b", drawn(F.col("b"), F.col("place"), F.col("n_units")).alias("i"))

@@ -5,15 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.times import floor_div
+
+
+#: Width of the blocks of the first order column that a key's rows are split into: six hours in microseconds.
+BLOCK = 6 * 3_600_000_000
+
 
 def ordered(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _split(df: DataFrame, order: list[str], width: int) -> DataFrame:
+    return df.withColumn("__block", floor_div(F.col(order[0]), width))
+
+
+def beside(df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str, ahead: bool = False, width: int = BLOCK) -> DataFrame:
+    """Adds ``out``, a struct of the ``columns`` of the key's row before (or ahead of) each row; null where there is none.
+
+    A key's rows are sorted in blocks of ``order[0]``, and what lies beyond a block's edge is
+    carried into it from one row per block; so no task sorts a whole key, however hot it is.
+    Rows with a null key see their own block only.
+    """
+    rows, cell = _split(df, order, width), F.struct(*columns)
+    step = F.lead if ahead else F.lag
+    edge = (F.min_by if ahead else F.max_by)(cell, F.struct(*order))
+    edges = rows.groupBy(*keys, "__block").agg(edge.alias("__edge"))
+    carried = edges.select(*keys, "__block", step("__edge").over(ordered(keys, ["__block"])).alias("__carry"))
+    near = step(cell).over(ordered([*keys, "__block"], order))
+    return rows.join(carried, [*keys, "__block"], "left").withColumn(out, F.coalesce(near, F.col("__carry"))).drop("__block", "__carry")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: int = BLOCK) -> DataFrame:
+    """Adds ``out``, the key's sum of ``value`` up to and with each row, from sums within and before its block."""
+    rows = _split(df, order, width).withColumn("__value", value)
+    sums = rows.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
+    earlier = ordered(keys, ["__block"]).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "__block", F.sum("__sum").over(earlier).alias("__base"))
+    here = F.sum("__value").over(ordered([*keys, "__block"], order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(base, [*keys, "__block"], "left").withColumn(out, here + F.coalesce("__base", F.lit(0))).drop("__block", "__value", "__base")
+
+
 def deltas(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Adds d_<column>, the change against the key's row before; null on its first row or where either is null."""
-    w = ordered(keys, order)
-    return df.withColumns({f"d_{c}": F.col(c) - F.lag(c).over(w) for c in columns})
+    near = beside(df, keys, order, columns, "__before")
+    return near.withColumns({f"d_{c}": F.col(c) - F.col(f"__before.{c}") for c in columns}).drop("__before")
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], state: Column, end: str) -> DataFrame:
@@ -21,11 +57,10 @@ def runs(df: DataFrame, keys: list[str], order: list[str], state: Column, end: s
 
     ``first`` and ``last`` are the smallest and largest ``end`` of the run; ``run`` counts from 1.
     """
-    w = ordered(keys, order)
-    marked = df.withColumn("state", state)
-    new = F.lag(F.lit(1)).over(w).isNull() | ~F.col("state").eqNullSafe(F.lag("state").over(w))
-    numbered = marked.withColumn("run", F.sum(new.cast("bigint")).over(w))
-    return numbered.groupBy(*keys, "run").agg(F.first("state").alias("state"), F.min(end).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("n"))
+    near = beside(df.withColumn("state", state), keys, order, ["state"], "__before")
+    new = F.col("__before").isNull() | ~F.col("state").eqNullSafe(F.col("__before.state"))
+    numbered = running(near.withColumn("__new", new), keys, order, F.col("__new").cast("bigint"), "run")
+    return numbered.groupBy(*keys, "run").agg(F.max("state").alias("state"), F.min(end).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def gated_runs(df: DataFrame, keys: list[str], order: list[str], hit: Column, seconds: Column, depth: Column, least_s: float, least_depth: float) -> DataFrame:
@@ -34,18 +69,22 @@ def gated_runs(df: DataFrame, keys: list[str], order: list[str], hit: Column, se
     A run passes if it lasts ``least_s`` and its depth never falls below ``least_depth``. A null
     hit is none; a run of unknown depth does not pass.
     """
-    w = ordered(keys, order)
     marked = df.select(*keys, *order, F.coalesce(hit, F.lit(False)).alias("hit"), seconds.alias("seconds"), depth.alias("depth"))
-    run = F.sum((~F.col("hit")).cast("bigint")).over(w)
-    hits = marked.withColumn("run", run).where("hit")
+    hits = running(marked, keys, order, (~F.col("hit")).cast("bigint"), "run").where("hit")
     out = hits.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"), F.min("depth").alias("depth"))
     return out.withColumn("passes", F.coalesce((F.col("seconds") >= least_s) & (F.col("depth") >= least_depth), F.lit(False)))
 
 
-def forward_fill(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Each column with the key's last value that is not null."""
-    w = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def forward_fill(df: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int = BLOCK) -> DataFrame:
+    """Each column with the key's last value that is not null, its own row included."""
+    rows = _split(df, order, width)
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys, "__block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in columns])
+    earlier = ordered(keys, ["__block"]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "__block", *[F.last(f"__{c}", ignorenulls=True).over(earlier).alias(f"__{c}") for c in columns])
+    here = ordered([*keys, "__block"], order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(carried, [*keys, "__block"], "left").withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(here), F.col(f"__{c}")) for c in columns})
+    return filled.drop("__block", *[f"__{c}" for c in columns])
 
 
 def joint_state(df: DataFrame, keys: list[str], order: list[str], member: str, value: str, members: list[str]) -> DataFrame:
@@ -78,11 +117,16 @@ def lead_lag(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, l
 
     Keys with fewer than ``least`` steps are left out; a correlation without variance is null.
     """
-    w = ordered(keys, order)
-    steps = deltas(df, keys, order, [x, y]).withColumn("px", F.lag(f"d_{x}").over(w)).withColumn("py", F.lag(f"d_{y}").over(w))
+    steps = lagged_steps(df, keys, order, x, y)
     return steps.groupBy(*keys).agg(F.count(F.col(f"d_{x}") + F.col(f"d_{y}")).alias("n"), rho(f"d_{x}", f"d_{y}").alias("r0"), rho("px", f"d_{y}").alias("r_x_leads"), rho(f"d_{x}", "py").alias("r_y_leads")).where(F.col("n") >= least)
 
 
+def lagged_steps(df: DataFrame, keys: list[str], order: list[str], x: str, y: str) -> DataFrame:
+    """Adds d_x and d_y, the changes of both, and px and py, the changes one step before."""
+    near = beside(deltas(df, keys, order, [x, y]), keys, order, [f"d_{x}", f"d_{y}"], "__before")
+    return near.withColumn("px", F.col(f"__before.d_{x}")).withColumn("py", F.col(f"__before.d_{y}")).drop("__before")
+
+
 def rho(x: str, y: str) -> Column:
     """Pearson correlation of the rows where both are known, from exact sums of whole numbers; null without variance."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -119,6 +163,6 @@ def missing_periods(df: DataFrame, keys: list[str], period: str) -> DataFrame:
 
 def sequence_gaps(df: DataFrame, keys: list[str], order: list[str], seq: str, is_snapshot: Column) -> DataFrame:
     """Breaks in a numbered stream: (keys, order, expected, got, missed). A snapshot starts anew and is never a break."""
-    w = ordered(keys, order)
-    rows = df.withColumn("expected", F.lag(seq).over(w) + 1).where(~is_snapshot & F.col("expected").isNotNull() & (F.col(seq) != F.col("expected")))
+    near = beside(df, keys, order, [seq], "__before").withColumn("expected", F.col(f"__before.{seq}") + 1)
+    rows = near.where(~is_snapshot & F.col("expected").isNotNull() & (F.col(seq) != F.col("expected")))
     return rows.select(*keys, *order, "expected", F.col(seq).alias("got"), (F.col(seq) - F.col("expected")).alias("missed"))

@@ -378,10 +378,9 @@ def lead_lag_per_ticker(spark, at):
 
 @query(f"""{_STEPS}, k as (select ticker from s group by ticker having count(dx + dy) >= 10) select {_corr("dx", "dy")} as r0, {_corr("px", "dy")} as r_x_leads, {_corr("dx", "py")} as r_y_leads, count(dx + dy) as n from s where ticker in (select ticker from k)""")
 def lead_lag_pooled(spark, at):
-    w = sequence.ordered(["ticker"], ["t", "snap_id"])
-    steps = sequence.deltas(books(spark, at), ["ticker"], ["t", "snap_id"], ["bid", "depth"]).withColumn("px", F.lag("d_bid").over(w)).withColumn("py", F.lag("d_depth").over(w))
-    enough = F.count(F.col("d_bid") + F.col("d_depth")).over(Window.partitionBy("ticker")) >= 10
-    pooled = steps.withColumn("enough", enough).where("enough")
+    steps = sequence.lagged_steps(books(spark, at), ["ticker"], ["t", "snap_id"], "bid", "depth")
+    enough = steps.groupBy("ticker").agg(F.count(F.col("d_bid") + F.col("d_depth")).alias("m")).where("m >= 10").select("ticker")
+    pooled = steps.join(enough, "ticker", "left_semi")
     pairs = (("r0", "d_bid", "d_depth"), ("r_x_leads", "px", "d_depth"), ("r_y_leads", "d_bid", "py"))
     return pooled.agg(*[stats.rounded(sequence.rho(x, y)).alias(n) for n, x, y in pairs], F.count(F.col("d_bid") + F.col("d_depth")).alias("n"))
 
@@ -397,8 +396,8 @@ def membership_changes(spark, at):
 b as (select *, sum(case when hit then 0 else 1 end) over (partition by ticker order by t, snap_id) as run from a), c as (select ticker, run, count(*) as n, cast(sum(us) as bigint) as us, min(depth) as depth from b where hit group by ticker, run)
 select ticker, cast(run as bigint) as run, n, us as seconds, depth, us >= {HOUR} and depth >= 12 as passes from c""")
 def gated_runs(spark, at):
-    w = sequence.ordered(["ticker"], ["t", "snap_id"])
-    b = books(spark, at).withColumn("us", F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0)))
+    b = sequence.beside(books(spark, at), ["ticker"], ["t", "snap_id"], ["t"], "next", ahead=True)
+    b = b.withColumn("us", F.coalesce(F.col("next.t") - F.col("t"), F.lit(0)))
     return sequence.gated_runs(b, ["ticker"], ["t", "snap_id"], F.col("depth") >= 10, F.col("us"), F.col("depth"), HOUR, 12)
 
 
@@ -420,8 +419,9 @@ def joint_state(spark, at):
 @query(f"""with {BOOKS}, s as (select *, lead(t) over w - t as gap, lead(bid) over w - bid as jump, lead(bid, 2) over w - lead(bid) over w as next from books window w as (partition by ticker order by t, snap_id))
 select series, count(*) as n, count(*) filter (where sign(next) = -sign(jump)) as n_reversed, cast(sum(next * sign(jump)) as bigint) as signed_next from s where abs(jump) >= 200 and gap <= {int(1.5 * HOUR)} and next is not null and next != 0 group by series""")
 def jump_reversals(spark, at):
-    w = sequence.ordered(["ticker"], ["t", "snap_id"])
-    s = books(spark, at).withColumn("gap", F.lead("t").over(w) - F.col("t")).withColumn("jump", F.lead("bid").over(w) - F.col("bid")).withColumn("next", F.lead("bid", 2).over(w) - F.lead("bid").over(w))
+    s = sequence.beside(books(spark, at), ["ticker"], ["t", "snap_id"], ["t", "bid"], "one", ahead=True)
+    s = sequence.beside(s, ["ticker"], ["t", "snap_id"], ["one"], "two", ahead=True)
+    s = s.withColumn("gap", F.col("one.t") - F.col("t")).withColumn("jump", F.col("one.bid") - F.col("bid")).withColumn("next", F.col("two.one.bid") - F.col("one.bid"))
     s = s.where((F.abs("jump") >= 200) & (F.col("gap") <= int(1.5 * HOUR)) & (F.col("next") != 0))
     sign = F.signum("jump").cast("bigint")
     return s.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("next").cast("bigint") == -sign).alias("n_reversed"), F.sum(F.col("next") * sign).alias("signed_next"))
@@ -487,7 +487,8 @@ def size_imbalance(spark, at):
 q as (select snap_id, yes_bids, best, u.l[1] as price, sum(u.l[2]) as had from p, unnest(prev) as u(l) where prev is not null and yes_bids is not null and best is not null and u.l[1] >= best - 0.005 group by all)
 select snap_id, {r6("sum(greatest(had - coalesce(list_sum(list_transform(list_filter(yes_bids, lambda x: x[1] = price), lambda x: x[2])), 0), 0))")} as departed from q group by snap_id""")
 def queue_departures(spark, at):
-    b = books(spark, at).withColumn("prev", F.lag("yes_bids").over(sequence.ordered(["ticker"], ["t", "snap_id"]))).where("prev is not null and yes_bids is not null and bid is not null")
+    b = sequence.beside(books(spark, at), ["ticker"], ["t", "snap_id"], ["yes_bids"], "before").withColumn("prev", F.col("before.yes_bids"))
+    b = b.where("prev is not null and yes_bids is not null and bid is not null")
     b = b.where(F.exists("prev", lambda x: ladder.price(x) >= F.col("bid") / 10000.0 - 0.005))
     return b.select("snap_id", stats.rounded(ladder.departures(F.col("prev"), F.col("yes_bids"), F.col("bid") / 10000.0)).alias("departed"))
 
