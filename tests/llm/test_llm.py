@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import datetime as dt
 import random
 from functools import lru_cache
 
