@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeloom.functions.keys import hash_key, key
-from tapeloom.functions.times import iso_micros, micros
+from tapeloom.functions.times import iso_micros
 from tapeloom.operators import dedup, drift, grid, nested, orphans, pointintime
 from tapeloom.plans import dealt
 
