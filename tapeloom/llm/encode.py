@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -12,8 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tapeloom.session import TOKENIZER_DIR
-
+#: Where the public vocabularies lie; TAPELOOM_TOKENIZERS or a parameter says otherwise.
+TOKENIZER_DIR = os.environ.get("TAPELOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how the public vocabulary splits a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 IDS = "doc_id bigint, ids array<int>"

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import encode, garble, leak, nearest
 from tapeloom.llm import queries as plans
-from tapeloom.session import TOKENIZER_DIR
 
-RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
+RANKS = f"{encode.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 MINUTE = 60_000_000
 
 
