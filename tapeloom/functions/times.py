@@ -61,3 +61,14 @@ def sql_date_key(expr: str) -> str:
 def floor_div(value: Column, width: int) -> Column:
     """Integer division rounded down, also below zero."""
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
+
+
+def standard_offset_micros(zone: str, year: int = 2026) -> Column:
+    """A zone's offset from UTC in standard time, taken in mid-January."""
+    winter = F.to_timestamp(F.lit(f"{year}-01-15 12:00:00"))
+    return F.unix_micros(F.from_utc_timestamp(winter, zone)) - F.unix_micros(winter)
+
+
+def climate_day(t: Column, zone: str) -> Column:
+    """Days since 1970 of an instant on a clock that keeps standard time all year."""
+    return floor_div(t + standard_offset_micros(zone), 86_400_000_000)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[str] = []
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the library assumes; clusters bring their own session."""
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
     if not spark.sparkContext.getCheckpointDir():
@@ -44,7 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one run's written tables."""
-    return f"{shared_folder(spark).rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,16 +58,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
+def clean(spark: SparkSession) -> None:
+    """Delete what this process has written under the shared folder; to be called once no result is read any more."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    """Cores of the cluster, at least one."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-TOKENIZER_DIR = os.environ.get("TAPELOOM_TOKENIZERS", "/opt/tokenizers")
+    while _paths:
+        target = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
