@@ -74,3 +74,13 @@ def walk(levels: Column, limit: Column, wanted: Column) -> Column:
         return F.struct((a["filled"] + n).alias("filled"), (a["cost"] + n * price(x)).alias("cost"))
 
     return F.aggregate(levels, start, take)
+
+
+def complement(levels: Column) -> Column:
+    """The other side's asks: one less each price, sizes and order kept."""
+    return F.transform(levels, lambda x: F.array(F.round(1 - price(x), 4), size(x)))
+
+
+def coordinate(kind: Column, low: Column, high: Column) -> Column:
+    """Where a rung lies: the middle of a bracket, else the bound it has."""
+    return F.when(kind == "between", (low + high) / 2).otherwise(F.coalesce(low, high))

@@ -43,3 +43,16 @@ def number(text: Column) -> Column:
 def epoch_micros(value: Column) -> Column:
     """Microseconds of a Unix time in seconds or milliseconds, told apart by magnitude; null under 1e9."""
     return F.when(value >= 1e12, value * 1000).when(value >= 1e9, value * 1_000_000).cast("bigint")
+
+
+def first_rule(text: Column, rules: dict[str, str], otherwise: str) -> Column:
+    """The name of the first rule whose word the text holds."""
+    out = F.lit(otherwise)
+    for word, name in reversed(rules.items()):
+        out = F.when(F.contains(F.lower(text), F.lit(word)), name).otherwise(out)
+    return out
+
+
+def cells(line: Column) -> Column:
+    """The cells of a table row written with bars; an escaped bar belongs to its cell."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))

@@ -60,3 +60,8 @@ def by_preference(df: DataFrame, keys: list[str], column: str, preferred: list[s
     place = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(column))
     order = F.struct(F.when(place > 0, place).otherwise(len(preferred) + 1).alias("p"), F.col(column).isNull().alias("n"), F.col(column).alias("c"), F.struct(*columns).alias("v"))
     return df.groupBy(*keys).agg(F.min(order).alias("x")).select(*keys, F.col("x.c").alias(column), *[F.col(f"x.v.{c}").alias(c) for c in columns])
+
+
+def initials_of(short: Column, words: Column) -> Column:
+    """Whether ``short`` is spelled by the first letters of ``words``, in order and all of them."""
+    return F.lower(short) == F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions import stats
+from tapeloom.functions import ladder, stats, tickers
 from tapeloom.functions.keys import key, sql_key
 from tapeloom.functions.times import climate_day, floor_div, iso_micros, sql_iso_micros
-from tapeloom.operators import asof, forecast, sequence
+from tapeloom.operators import asof, forecast, quality, sequence, sets
 from tapeloom.plans.reference import BOOKS, CAPTURES, DAY, HOUR, books, captures, r6
 from tapeloom.sources.tables import table
 
@@ -162,3 +162,63 @@ def calibrated_forecasts(spark, at):
     h = c.groupBy("symbol", "hour").agg(F.avg("spot").alias("mean"), F.coalesce(F.var_samp("spot"), F.lit(0.0)).alias("v"), F.max_by("spot", F.struct("t", "capture_row")).alias("last"))
     before = h.select("symbol", (F.col("hour") + 1).alias("hour"), "mean", "v")
     return forecast.fit_spread(h.select("symbol", "hour", F.col("last").alias("y")).join(before, ["symbol", "hour"]), ["symbol"], "y", "mean", "v")
+
+
+@query("""select market_row, floor((case when lower(strike_type) = 'between' then (floor_strike + cap_strike) / 2 else coalesce(floor_strike, cap_strike) end) * 1000000 + 0.5) / 1000000.0 as coordinate from bracket_markets where strike_type is not null""")
+def rung_coordinates(spark, at):
+    m = table(spark, at, "bracket_markets").where("strike_type is not null")
+    return m.select("market_row", stats.rounded(ladder.coordinate(F.lower("strike_type"), F.col("floor_strike"), F.col("cap_strike"))).alias("coordinate"))
+
+
+@query(f"""with {BOOKS}, y as (select snap_id, unnest(no_bids) as l, generate_subscripts(no_bids, 1) as i from books) select snap_id, cast(i as integer) as level, 10000 - cast(round(l[1] * 10000) as bigint) as price_tt from y where l[1] is not null""")
+def complement_ladder(spark, at):
+    c = books(spark, at).select("snap_id", F.posexplode(ladder.complement(F.col("no_bids"))).alias("i", "l"))
+    return c.select("snap_id", (F.col("i") + 1).alias("level"), F.round(ladder.price(F.col("l")) * 10_000).cast("bigint").alias("price_tt")).where("price_tt is not null")
+
+
+@query(f"""with {BOOKS}, l as (select * from books qualify row_number() over (partition by ticker, d order by t desc, snap_id desc) = 1) select event, d, count(*) as n, bool_and(coalesce(bid > 0 and ask < 10000, false)) as executable from l group by event, d""")
+def whole_ladders(spark, at):
+    """Whether every member of an event had both sides at its last reading of the day."""
+    last = sets.pick(books(spark, at), ["ticker", "d"], [F.col("t"), F.col("snap_id")], ["event", "bid", "ask"])
+    return last.groupBy("event", "d").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce((F.col("bid") > 0) & (F.col("ask") < 10_000), F.lit(False))).alias("executable"))
+
+
+@query("""select case when contains(lower(strategy), 'maker') then 'making' when contains(lower(strategy), 'fade') then 'fading' when contains(lower(strategy), 'lag') then 'timing' else 'other' end as category, count(*) as n from paper_orders where strategy is not null group by 1""")
+def strategy_categories(spark, at):
+    o = table(spark, at, "paper_orders").where("strategy is not null")
+    return o.groupBy(tickers.first_rule(F.col("strategy"), {"maker": "making", "fade": "fading", "lag": "timing"}, "other").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select fill_row, coalesce(list_position(caveats, 'no_queue_model'), 0)::bigint as place, caveats[1] as first from paper_fills where caveats is not null""")
+def places_in_arrays(spark, at):
+    f = table(spark, at, "paper_fills").where("caveats is not null")
+    return f.select("fill_row", F.array_position("caveats", "no_queue_model").alias("place"), F.get("caveats", F.lit(0)).alias("first"))
+
+
+@query(f"""with {BOOKS}, p as (select series, d, cast(sum(ask - bid) as bigint) as s, count(ask - bid) as c from books group by all), t as (select series, sum(s) as s, sum(c) as c from p where c > 0 group by series)
+select p.series, p.d, {r6("cast(t.s - p.s as double) / (t.c - p.c)")} as others from p join t using (series) where p.c > 0 and t.c > p.c""")
+def leave_one_day_out(spark, at):
+    """Each day's mean of all other days of its series, from sums; days are not paired."""
+    p = books(spark, at).withColumn("s", F.col("ask") - F.col("bid")).groupBy("series", "d").agg(F.sum("s").alias("s"), F.count("s").alias("c")).where("c > 0")
+    t = p.groupBy("series").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
+    return p.join(t, "series").where("tc > c").select("series", "d", stats.rounded((F.col("ts") - F.col("s")).cast("double") / (F.col("tc") - F.col("c"))).alias("others"))
+
+
+@query(f"""with u as (select 'fills' as probe, {sql_key("ticker")} as unit, cast(round(price * 10000) as bigint) as v from paper_fills union all select 'trades', {sql_key("bracket_ticker")}, cast(round(entry_no_ask * 10000) as bigint) from bracket_trades)
+select probe, unit, count(v) as n, cast(sum(v) as bigint) as total from u where unit is not null and v is not null group by all""")
+def units_of_two_probes(spark, at):
+    value = lambda c: F.round(F.col(c) * 10_000).cast("bigint").alias("v")
+    fills = table(spark, at, "paper_fills").select(F.lit("fills").alias("probe"), key("ticker").alias("unit"), value("price"))
+    trades = table(spark, at, "bracket_trades").select(F.lit("trades").alias("probe"), key("bracket_ticker").alias("unit"), value("entry_no_ask"))
+    return fills.unionByName(trades).where("unit is not null and v is not null").groupBy("probe", "unit").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"""with {BOOKS} select event, max(t) as closes, min(t) as opens, count(distinct ticker) as n_tickers from books group by event""")
+def group_spans(spark, at):
+    return books(spark, at).groupBy("event").agg(F.max("t").alias("closes"), F.min("t").alias("opens"), F.count_distinct("ticker").alias("n_tickers"))
+
+
+@query("""with e as (select unnest([case when limit_price is null then 'no limit' end, case when qty is null or qty <= 0 then 'no quantity' end, case when strategy is null then 'no strategy' end, case when trim(event_ticker) = '' or event_ticker is null then 'no event' end]) as reason from paper_orders) select reason, count(*) as n from e where reason is not null group by reason""")
+def reasons_dropped(spark, at):
+    checks = {"no limit": F.col("limit_price").isNotNull(), "no quantity": F.col("qty") > 0, "no strategy": F.col("strategy").isNotNull(), "no event": key("event_ticker").isNotNull()}
+    return table(spark, at, "paper_orders").select(F.explode(quality.errors(checks)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

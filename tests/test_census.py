@@ -9,7 +9,8 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import forecast
+from tapeloom.functions import tickers
+from tapeloom.operators import forecast, matching
 from tapeloom.plans import census
 
 
@@ -34,3 +35,9 @@ def test_bracket_probability(spark):
     df = spark.createDataFrame([(0.0, 1.0, -1.0, 1.0), (0.0, 1.0, None, 0.0), (0.0, 1.0, 0.0, None), (0.0, 0.0, 0.0, 1.0)], "m double, s double, a double, b double")
     got = [r.p for r in df.select(forecast.bracket_probability(F.col("m"), F.col("s"), F.col("a"), F.col("b")).alias("p")).collect()]
     assert np.allclose(got[:3], [math.erf(1 / math.sqrt(2)), 0.5, 0.5]) and got[3] is None
+
+
+def test_cells_rules_and_initials(spark):
+    df = spark.createDataFrame([(r"| a | b\|c | |", "A maker fades", "nyg", "New York Giants")], "l string, t string, s string, n string")
+    r = df.select(tickers.cells(F.col("l")).alias("c"), tickers.first_rule(F.col("t"), {"fade": "x", "maker": "y"}, "z").alias("r"), matching.initials_of(F.col("s"), matching.tokens(F.col("n"))).alias("i")).first()
+    assert r.c == ["a", "b|c", ""] and r.r == "x" and r.i
