@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.session import written
+
 #: A key with at least this share of all references is heavy; there are at most 1 / share of them.
 HEAVY_SHARE = 0.002
 
@@ -33,10 +35,10 @@ def orphan_references(children: DataFrame, key: Column, row_id: str, loaded_at:
     rows = children.select(key.alias("key"), F.col(row_id).cast("bigint").alias("row_id"), F.col(loaded_at).alias("loaded"), period.alias("period")).where("key is not null")
     per_period = rows.groupBy("key", "period").agg(F.count(F.lit(1)).alias("n"))
     per_key = per_period.groupBy("key").agg(F.sum("n").alias("n"))
-    total = rows.agg((F.count(F.lit(1)) * F.lit(heavy_share)).alias("least"))
-    heavy = per_key.join(F.broadcast(total), F.col("n") >= F.greatest(F.col("least"), F.lit(2))).select("key")
+    least = rows.agg(F.greatest(F.count(F.lit(1)) * F.lit(heavy_share), F.lit(2.0))).scalar()
+    heavy = per_key.where(F.col("n") >= least).select("key")
     states = parent_states(parents, parent_key, arrived, ceased).withColumn("there", F.lit(True))
-    heavy_states = heavy.join(states, "key", "left").withColumn("heavy", F.lit(True))
+    heavy_states = written(heavy.join(states, "key", "left").withColumn("heavy", F.lit(True)), "heavy")  # 1 / heavy_share rows at most
     split = rows.join(F.broadcast(heavy_states), "key", "left")
     hot = split.where("heavy").drop("heavy")
     rest = split.where("heavy is null").select("key", "row_id", "loaded", "period").join(states, "key", "left")
