@@ -89,3 +89,13 @@ def test_stream_cadence_and_first_deliveries(spark, tmp_path):
     assert [(r.n_rows, r.n_captures) for r in got.orderBy("starts").collect()][:1] == [(3, 2)]
     once = streams.replayed(streams.first_deliveries(s, ["c"], "at", "1 hour"), f"file://{tmp_path}/b")
     assert rows(once.select("c")) == [("p",), ("q",), ("r",), ("s",)]
+
+
+def test_tables_are_read_as_utc(spark, small):
+    from tapeloom.functions.times import micros
+    from tapeloom.sources.tables import table
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    got = table(spark, small, "book_snapshots").select(F.min(micros("ts_utc"))).first()[0]
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert got == spark.read.parquet(f"{small}/book_snapshots.parquet").select(F.min(micros("ts_utc"))).first()[0]
