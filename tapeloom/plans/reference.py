@@ -431,10 +431,8 @@ def jump_reversals(spark, at):
 select c, cast(sum(n - d - 1) as bigint) as n_missing, max(n - d - 1) as longest from g where n > d + 1 and n - d < 40 group by c""")
 def missing_order_days(spark, at):
     x = table(spark, at, "orders").select(F.col("o_custkey").alias("c"), floor_div(micros("o_orderdate"), DAY).alias("d"))
-    w = sequence.ordered(["c"], ["d"])
-    near = x.distinct().withColumn("n", F.lead("d").over(w)).where("n - d < 40 and n > d + 1")
-    gaps = sequence.missing_periods(near.select("c", F.col("d").alias("g"), F.explode(F.array("d", "n")).alias("d")), ["c", "g"], "d")
-    return gaps.groupBy("c", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("c").agg(F.sum("m").alias("n_missing"), F.max("m").alias("longest"))
+    gaps = x.distinct().withColumn("m", F.lead("d").over(sequence.ordered(["c"], ["d"])) - F.col("d") - 1).where("m > 0")
+    return gaps.groupBy("c").agg(F.sum("m").alias("n_missing"), F.max("m").alias("longest"))
 
 
 @query(f"""with {BOOKS}, x as (select ticker, d from (select distinct ticker, d from books)), g as (select ticker, d, lead(d) over (partition by ticker order by d) as n from x where d between 0 and 100000)

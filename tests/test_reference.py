@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -91,3 +92,15 @@ def test_false_discovery_against_a_loop(spark):
     kept = [r.i for r in stats.benjamini_hochberg(df, "p", 0.05).where("kept").collect()]
     limit = max((x for k, x in enumerate(sorted(p), 1) if x <= 0.05 * k / len(p)), default=-1)
     assert sorted(kept) == [i for i, x in enumerate(p) if x <= limit]
+
+
+def test_long_silences_count_as_missing_order_days(spark, tmp_path):
+    days = {1: [0, 1, 40, 41, 500], 2: [3, 3, 10], 3: [5], 4: [7, 8], 5: [-50, 0]}
+    first = dt.datetime(1995, 1, 1)
+    data = [(c, first + dt.timedelta(days=d)) for c, ds in days.items() for d in ds] + [(1, None)]
+    spark.createDataFrame(data, "o_custkey bigint, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    want = []
+    for c, ds in days.items():
+        gone = [b - a - 1 for a, b in zip(sorted(set(ds)), sorted(set(ds))[1:]) if b > a + 1]
+        want += [(c, sum(gone), max(gone))] if gone else []
+    assert rows(reference.missing_order_days(spark, str(tmp_path))) == sorted(want) == [(1, 496, 458), (2, 6, 6), (5, 49, 49)]
