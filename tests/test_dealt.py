@@ -83,6 +83,39 @@ def test_singular_spectrum_restores_a_wave():
     assert np.allclose(grid.ssa_fill(np.array([[2.0, np.nan]]), np.array([[True, False]])), 2.0)
 
 
+def test_imputation_goes_on_until_nothing_moves():
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=(12, 60)), axis=1)
+    seen = rng.random(x.shape) > 0.6
+    seen[:, [0, -1]] = True
+    x = np.where(seen, x, np.nan)
+    filled, state = grid.ssa_impute(x, seen)
+    assert (state == 1).all()
+    for row, known in zip(filled, seen):  # one more round, written out
+        at = np.arange(60)
+        start = np.interp(at, at[known], row[known])
+        z = row - start.mean()
+        hankel = np.array([z[k : k + 45] for k in range(16)])
+        u, s, v = np.linalg.svd(hankel, full_matrices=False)
+        flat = (u[:, :3] * s[:3]) @ v[:3]
+        mean = np.array([np.mean([flat[k, i - k] for k in range(16) if 0 <= i - k < 45]) for i in at])
+        assert np.abs(mean - z)[~known].max() <= 2 * grid.TOLERANCE * start.std()
+    assert (grid.ssa_impute(x, seen, iterations=1)[1] == 0).all()
+
+
+def test_series_of_other_lengths_do_not_matter():
+    rng = np.random.default_rng(0)
+    lengths = np.array([1, 2, 3, 4, 9, 31, 40])
+    x = np.full((7, 40), np.nan)
+    for i, n in enumerate(lengths):
+        x[i, :n] = np.where(rng.random(n) < 0.7, rng.random(n), np.nan)
+        x[i, [0, n - 1]] = 0.3, 0.5
+    filled, state = grid.ssa_impute(x, ~np.isnan(x), iterations=300, lengths=lengths)
+    for i, n in enumerate(lengths):
+        alone, own = grid.ssa_impute(x[i : i + 1, :n], ~np.isnan(x[i : i + 1, :n]), iterations=300)
+        assert np.allclose(alone[0], filled[i, :n]) and own[0] == state[i] and np.isnan(filled[i, n:]).all()
+
+
 # --- p2
 
 
