@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import ladder, stats, tickers
-from tapeloom.operators import asof, fold, sequence, sets
+from tapeloom.operators import asof, bootstrap, fold, sequence, sets
 from tapeloom.plans import reference
 
 
@@ -104,3 +104,18 @@ def test_long_silences_count_as_missing_order_days(spark, tmp_path):
         gone = [b - a - 1 for a, b in zip(sorted(set(ds)), sorted(set(ds))[1:]) if b > a + 1]
         want += [(c, sum(gone), max(gone))] if gone else []
     assert rows(reference.missing_order_days(spark, str(tmp_path))) == sorted(want) == [(1, 496, 458), (2, 6, 6), (5, 49, 49)]
+
+
+def test_bootstrap_takes_ten_thousand_samples_of_units(spark):
+    data = [(u, (u * u * 7 + k * 3) % 41 - 20) for u in range(9) for k in range(u % 4 + 1)] + [(None, 99), (3, None)]
+    per = [[y for v, y in data if v == u and y is not None] for u in range(9)]
+    means = []
+    for b in range(10_000):
+        drawn = [per[((b * 7919 + s * 104_729 + 42) * 1_103_515_245 + 12_345) % 2**31 % 9] for s in range(9)]
+        means.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
+    means.sort()
+    got = bootstrap.cluster_bootstrap(spark.createDataFrame(data, "u bigint, y bigint"), "u", "y").first()
+    assert (got.n_units, got.total, got.n) == (9, sum(map(sum, per)), sum(map(len, per)))
+    assert np.allclose([got.low, got.high], [means[250], means[9_750]]) and not np.allclose([got.low, got.high], [sorted(means[:200])[5], sorted(means[:200])[195]])
+    none = bootstrap.cluster_bootstrap(spark.createDataFrame([], "u bigint, y bigint"), "u", "y").first()
+    assert (none.n_units, none.low, none.high) == (0, None, None)
