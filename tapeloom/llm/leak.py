@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 WORDS, MISREAD_IN = 24, 8
 #: Length of the test strings, their distance in an item, the block of the shift table.
 LENGTH, EVERY, BLOCK = 12, 3, 4
-#: A test string of more items than this tells them apart too little to anchor one, but see Patterns.
-COMMON = 12
-#: Every stretch of WORDS words of an item keeps at least so many test strings.
-KEEP = 14
 #: Test strings of one stretch of WORDS words that a column must hold to be looked at more closely, and those on one diagonal that make
 #: an anchor. A case has some 38 of them (125 letters, one every EVERY); a misread word costs six, lines in between cost four.
 NEED, ANCHOR = 8, 3
@@ -83,7 +79,6 @@ class Patterns:
             item.append(np.full(len(at), i))
             offset.append(at)
         self.code, self.item, self.offset = (np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64) for a in (code, item, offset))
-        self._choose()
         order = np.lexsort((self.code, self.code % BASE**BLOCK))
         self.code, self.item, self.offset = self.code[order], self.item[order], self.offset[order]
         self.suffix = self.code % BASE**BLOCK
@@ -93,24 +88,6 @@ class Patterns:
             np.minimum.at(self.shift, self.code // BASE**k % BASE**BLOCK, k)
         self.bucket = np.searchsorted(self.suffix, np.arange(BASE**BLOCK + 1)).astype(np.int32)
 
-    def _choose(self) -> None:
-        """Drop strings of many items, where enough others of the stretch around them are left."""
-        names, inverse = np.unique(self.code, return_inverse=True)
-        pairs = np.unique(inverse * len(self.items) + self.item)
-        n_items = np.bincount(pairs // max(len(self.items), 1), minlength=len(names))[inverse]
-        keep = n_items <= COMMON
-        for i, it in enumerate(self.items):
-            own = np.flatnonzero(self.item == i)
-            at = self.offset[own]
-            for w in range(max(1, len(it.bounds) - WORDS)):
-                a, b = it.bounds[w], it.bounds[min(w + WORDS, len(it.bounds) - 1)]
-                here = own[(at >= a) & (at + LENGTH <= b)]
-                lack = KEEP - keep[here].sum()
-                if lack > 0:
-                    rest = here[~keep[here]]
-                    keep[rest[np.argsort(n_items[rest], kind="stable")[:lack]]] = True
-        self.code, self.item, self.offset = self.code[keep], self.item[keep], self.offset[keep]
-
     def search(self, x: np.ndarray, lane: int = 96) -> tuple[np.ndarray, np.ndarray]:
         """(start in ``x``, test string) of every occurrence of a test string in the codes ``x``."""
         last = len(x) - BLOCK

@@ -233,6 +233,22 @@ def test_search_finds_every_occurrence():
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("copies", [1, 13, 30])
+def test_strings_of_many_items_still_find_them(copies):
+    rng = random.Random(11)
+    item = passage(rng, 40)
+    pages = []
+    for a in range(2, 20):
+        for b in range(a + 2, 22, 3):
+            words = item[-24:]
+            for k in (a, b):
+                words[k] = words[k].replace(words[k][2], "x")
+            pages.append(column(laid(passage(rng, 12) + words + passage(rng, 12), broken=False), 100))
+    got = {(p, i) for p, i, _ in scan(pages, [item_of(item)] * copies)}
+    alone = {p for p, _, _ in scan(pages, [item_of(item)])}
+    assert len(alone) >= 0.9 * len(pages) and got == {(p, i) for p in alone for i in range(copies)}
+
+
 def test_leak_table(spark):
     rng = random.Random(6)
     item = passage(rng, 40)
