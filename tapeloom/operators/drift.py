@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The records' own fields with the types they are read as; others stay in the rest column.
@@ -18,41 +18,64 @@ TARGET = {
 }
 
 
-def path_values(lines: DataFrame) -> DataFrame:
-    """Each readable line once, as a map from field to raw value: (file_name, line_no, line_id, fields).
+def path_values(lines: DataFrame, levels: int = 1) -> DataFrame:
+    """Each readable line once, as a map from path to raw value: (file_name, line_no, line_id, fields).
 
     Readable is a payload that is a JSON object (with a key twice it is none). Of the readable
     copies of a file's line the one received first stays, then the smaller line_id; lines without
     a number are each a line of their own. Null or blank payloads and file names are left out.
+    A path is a top-level field; with ``levels`` above 1 objects are opened so many levels deep,
+    paths are written with dots (a dot in a field's own name as ``\\.``) and an object that is
+    opened has no path of its own, unless it is empty.
     """
-    first = F.min_by("payload", F.struct(F.col("received_at").isNull(), "received_at", "line_id"))
-    readable = lines.where(F.col("payload").rlike(r"^\s*\{") & (F.trim("file_name") != "") & F.try_parse_json("payload").isNotNull())
-    once = readable.groupBy("file_name", "line_no", F.when(F.col("line_no").isNull(), F.col("line_id")).alias("own")).agg(first.alias("payload"), F.min_by("line_id", F.struct(F.col("received_at").isNull(), "received_at", "line_id")).alias("line_id"))
-    return once.select("file_name", "line_no", "line_id", F.try_parse_json("payload").cast("map<string,variant>").alias("fields"))
-
-
-def raw_type(value) -> F.Column:
+    objects = lines.where(F.col("payload").rlike(r"^\s*\{") & (F.trim("file_name") != "")).withColumn("v", F.try_parse_json("payload"))
+    own = F.when(F.col("line_no").isNull(), F.col("line_id")).alias("own")
+    order = F.when(F.col("v").isNotNull(), F.struct(F.col("received_at").isNull(), "received_at", "line_id"))
+    once = objects.groupBy("file_name", "line_no", own).agg(F.min_by(F.struct("line_id", "v"), order).alias("x"))
+    fields = F.col("x.v").cast("map<string,variant>")
+    if levels > 1:
+        escaped = lambda k: F.regexp_replace(k, r"([\\.])", r"\\$1")
+        entries = F.transform(F.map_entries(fields), lambda e: F.struct(escaped(e["key"]).alias("key"), e["value"].alias("value")))
+        for _ in range(levels - 1):
+            entries = F.flatten(F.transform(entries, lambda e: _opened(e, escaped)))
+        fields = F.map_from_entries(entries)
+    return once.where("x.v is not null").select("file_name", "line_no", F.col("x.line_id").alias("line_id"), fields.alias("fields"))
+
+
+def _opened(entry: Column, escaped: Callable[[Column], Column]) -> Column:
+    """The entries of an object under their paths, or the entry itself."""
+    inside = F.map_entries(F.when(raw_type(entry["value"]) == "object", entry["value"]).try_cast("map<string,variant>"))
+    parts = F.transform(inside, lambda c: F.struct(F.concat(entry["key"], F.lit("."), escaped(c["key"])).alias("key"), c["value"].alias("value")))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value"))))
+
+
+def raw_type(value: Column) -> Column:
     """string, number, boolean, array or object; null for a null."""
     said = F.schema_of_variant(value)
     return F.when(said.startswith("OBJECT"), "object").when(said.startswith("ARRAY"), "array").when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").when(said != "VOID", "number")
 
 
 def file_schemas(values: DataFrame) -> DataFrame:
-    """The fields of every file: (stream, file_name, dt, file_no, field, type).
+    """The fields of every file: (stream, file_name, dt, file_no, next_file, field, type).
 
     A field belongs to a file if more than half of its lines have the key; its type is the
-    commonest among non-null values (the first by name when tied, null if there is none).
+    commonest among non-null values (the first by name when tied, null if there is none). Lines
+    are counted in the same pass, as the cells of no field. A file without fields has one row
+    with a null field; ``next_file`` is the name of the file after it in its stream.
     """
-    sizes = values.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_lines"))
-    cells = values.select("file_name", F.explode("fields").alias("field", "value"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    cells = values.select("file_name", F.inline(F.concat(whole, F.map_entries("fields"))).alias("field", "value"))
     by_type = cells.groupBy("file_name", "field", raw_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    fields = by_type.groupBy("file_name", "field").agg(
+    by_field = by_type.groupBy("file_name", "field").agg(
         F.sum("n").alias("n"), F.max_by("type", F.when(F.col("type").isNotNull(), F.struct(F.col("n"), -F.ascii("type"), -F.ascii(F.substring("type", 2, 1))))).alias("type")
     )
-    stream = F.regexp_extract("file_name", r"^(.*)/[^/]*$", 1)
-    names = sizes.withColumn("stream", stream).withColumn("dt", F.regexp_extract("file_name", r"(\d{4}-?\d{2}-?\d{2})[^/]*$", 1))
-    numbered = names.withColumn("file_no", F.row_number().over(Window.partitionBy("stream").orderBy(F.regexp_replace("dt", "-", ""), "file_name")))
-    return numbered.join(fields, "file_name", "left").where("field is null or 2 * n > n_lines").select("stream", "file_name", "dt", "file_no", "field", "type")
+    held = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "type", "n")))  # the fields of one file
+    files = by_field.groupBy("file_name").agg(F.max(F.when(F.col("field").isNull(), F.col("n"))).alias("n_lines"), held.alias("held"))
+    files = files.withColumn("stream", F.regexp_extract("file_name", r"^(.*)/[^/]*$", 1)).withColumn("dt", F.regexp_extract("file_name", r"(\d{4}-?\d{2}-?\d{2})[^/]*$", 1))
+    by_day = Window.partitionBy("stream").orderBy(F.regexp_replace("dt", "-", ""), "file_name")
+    numbered = files.withColumn("file_no", F.row_number().over(by_day)).withColumn("next_file", F.lead("file_name").over(by_day))
+    kept = F.filter("held", lambda h: 2 * h["n"] > F.col("n_lines"))
+    return numbered.select("stream", "file_name", "dt", "file_no", "next_file", F.explode_outer(kept).alias("h")).select("stream", "file_name", "dt", "file_no", "next_file", "h.field", "h.type")
 
 
 def schema_changes(schemas: DataFrame) -> DataFrame:
@@ -62,53 +85,79 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     their names when there are several; both then are neither removed nor added. A field whose
     type is unknown on one side is not retyped. A stream's first file has no changes.
     """
-    files = schemas.select("stream", "file_no", "file_name").distinct()
-    here = schemas.where("field is not null").select("stream", "file_no", "field", F.col("type").alias("now"))
-    before = here.select("stream", (F.col("file_no") + 1).alias("file_no"), "field", F.col("now").alias("was"), F.lit(True).alias("had"))
-    both = here.withColumn("has", F.lit(True)).join(before, ["stream", "file_no", "field"], "full_outer").where("file_no > 1")
-    both = both.join(files, ["stream", "file_no"])  # leaves out the file after the last
-    retyped = both.where("has and had and now != was").select("stream", "file_no", "file_name", "field", F.lit("retyped").alias("change"), F.lit("").alias("new_field"))
-    moved = both.where("has is null or had is null").select("stream", "file_no", "file_name", "field", F.coalesce("now", "was").alias("type"), F.col("has").isNotNull().alias("came"))
-    nth = F.row_number().over(Window.partitionBy("stream", "file_no", "type", "came").orderBy("field"))
-    pairs = moved.withColumn("nth", nth).groupBy("stream", "file_no", "file_name", "type", "nth").agg(F.max(F.when(~F.col("came"), F.col("field"))).alias("gone"), F.max(F.when(F.col("came"), F.col("field"))).alias("new"))
-    change = F.when(F.col("gone").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("renamed")
-    swapped = pairs.select("stream", "file_no", "file_name", F.coalesce("gone", "new").alias("field"), change.alias("change"), F.when(change == "renamed", F.col("new")).otherwise("").alias("new_field"))
-    return retyped.unionByName(swapped)
-
-
-def _aliases(changes: pd.DataFrame) -> pd.DataFrame:
-    """From a stream's renames, the oldest name of each field and the files where it goes by another."""
-    oldest, rows, open_at = {}, [], {}
-    for r in changes.sort_values(["file_no", "field"]).itertuples():
-        root = oldest.pop(r.field, r.field)
-        if r.field in open_at:
-            open_at.pop(r.field)["until"] = r.file_no
-        oldest[r.new_field] = root
-        if r.new_field != root:
-            open_at[r.new_field] = {"stream": r.stream, "name": r.new_field, "root": root, "since": r.file_no, "until": 2**31 - 1}
-            rows.append(open_at[r.new_field])
-    return pd.DataFrame(rows, columns=["stream", "name", "root", "since", "until"])
+    of_field = Window.partitionBy("stream", "field").orderBy("file_no")
+    held = schemas.where("field is not null").withColumns({"prev_no": F.lag("file_no").over(of_field), "prev_type": F.lag("type").over(of_field), "next_no": F.lead("file_no").over(of_field)})
+    there, stays = F.col("prev_no").eqNullSafe(F.col("file_no") - 1), F.col("next_no").eqNullSafe(F.col("file_no") + 1)
+    event = lambda cond, no, name, what: F.when(cond, F.struct(no.alias("file_no"), name.alias("file_name"), F.lit(what).alias("what")))
+    here, after = (F.col("file_no"), F.col("file_name")), (F.col("file_no") + 1, F.col("next_file"))
+    seen = F.array_compact(F.array(
+        event(~there & (F.col("file_no") > 1), *here, "came"), event(there & (F.col("type") != F.col("prev_type")), *here, "retyped"), event(~stays & F.col("next_file").isNotNull(), *after, "gone"),
+    ))
+    events = held.select("stream", "field", "type", F.explode(seen).alias("e")).select("stream", "e.file_no", "e.file_name", "field", "type", "e.what")
+    # The n-th field that went and the n-th that came of one type make a pair; a retyped field stands alone.
+    nth = F.row_number().over(Window.partitionBy("stream", "file_no", "type", "what").orderBy("field"))
+    alone = F.when(F.col("what") == "retyped", F.col("field"))
+    pairs = events.withColumn("nth", nth).groupBy("stream", "file_no", "file_name", "type", "nth", alone.alias("alone"))
+    pairs = pairs.agg(F.max(F.when(F.col("what") == "gone", F.col("field"))).alias("gone"), F.max(F.when(F.col("what") == "came", F.col("field"))).alias("came"))
+    change = F.when(F.col("alone").isNotNull(), "retyped").when(F.col("gone").isNull(), "added").when(F.col("came").isNull(), "removed").otherwise("renamed")
+    return pairs.select("stream", "file_no", "file_name", F.coalesce("alone", "gone", "came").alias("field"), change.alias("change"), F.when(change == "renamed", F.col("came")).otherwise("").alias("new_field"))
+
+
+def _aliases(target: frozenset[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """From a stream's changes, the files where a target field goes by another name: (stream, name, root, since, until).
+
+    A field renamed to a target's own name has a column of that name from there on. A span ends
+    where its name is removed or renamed again, and where the root's own name comes back; so a
+    file has one name at most for each root.
+    """
+
+    def spans(changes: pd.DataFrame) -> pd.DataFrame:
+        rows, by_name = [], {}  # open spans by their present name
+        for no, file in changes.sort_values("file_no").groupby("file_no", sort=True):
+            renamed = {r.field: r.new_field for r in file.itertuples() if r.change == "renamed"}
+            back = {r.field for r in file.itertuples() if r.change == "added"} | set(renamed.values())
+            for name, span in list(by_name.items()):
+                if name in renamed or span["root"] in back or ((file["field"] == name) & (file["change"] == "removed")).any():
+                    by_name.pop(name)["until"] = no
+                    if name in renamed and span["root"] not in back:
+                        renamed[span["root"]] = renamed.pop(name)
+            for root, name in renamed.items():
+                if root in target and name not in target:
+                    by_name[name] = {"stream": changes["stream"].iloc[0], "name": name, "root": root, "since": no, "until": 2**31 - 1}
+                    rows.append(by_name[name])
+        return pd.DataFrame(rows, columns=["stream", "name", "root", "since", "until"])
+
+    return spans
 
 
 def consistent_rows(values: DataFrame, schemas: DataFrame, changes: DataFrame, target: Mapping[str, str] = TARGET) -> DataFrame:
     """One table over all files: (file_name, line_no, line_id), a column per target field, rest, failed.
 
-    A renamed field is read under its new name from the file on in which it was renamed; a value
-    that cannot be cast to the target's type is null there and its field's name is in ``failed``;
-    fields outside the target stay in ``rest`` (JSON by field). The renames that are gathered per
-    stream are schema changes, not records.
+    A renamed target field is read under its new name from the file on in which it was renamed,
+    until that name goes or the field's own name comes back; where a line has both, its own name
+    counts unless it is null. A value that cannot be cast to the target's type is null there and
+    its field's name is in ``failed``. Whatever is in no column, values that failed among it, is
+    in ``rest`` (JSON by path). The changes that are gathered per stream are schema changes, not
+    records.
     """
-    renames = changes.where("change = 'renamed'").select("stream", "file_no", "field", "new_field")
-    spans = renames.groupBy("stream").applyInPandas(_aliases, "stream string, name string, root string, since int, until int")
+    moves = changes.where("change != 'retyped'").select("stream", "file_no", "field", "change", "new_field")
+    spans = moves.groupBy("stream").applyInPandas(_aliases(frozenset(target)), "stream string, name string, root string, since int, until int")
     files = schemas.select("stream", "file_no", "file_name").distinct()
     names = files.join(spans, "stream").where("file_no >= since and file_no < until").groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("root", "name"))).alias("names"))
     rows = values.join(names, "file_name", "left")
-    cell = lambda f: F.coalesce(F.try_element_at("fields", F.try_element_at("names", F.lit(f))), F.try_element_at("fields", F.lit(f)))
-    typed = {f: F.try_variant_get(cell(f), "$", kind) for f, kind in target.items()}
-    failed = F.filter(F.array(*[F.when(typed[f].isNull() & cell(f).isNotNull() & ~F.is_variant_null(cell(f)), F.lit(f)) for f in target]), lambda x: x.isNotNull())
-    known = F.array_union(F.array(*[F.lit(f) for f in target]), F.coalesce(F.map_values("names"), F.array().cast("array<string>")))
-    rest = F.transform_values(F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)), lambda k, v: F.to_json(v))
-    return rows.select("file_name", "line_no", "line_id", *[c.alias(f) for f, c in typed.items()], rest.alias("rest"), failed.alias("failed"))
+    known = lambda v: v.isNotNull() & ~F.is_variant_null(v)
+    own = lambda f: F.try_element_at("fields", F.lit(f))
+    alias = lambda f: F.try_element_at("names", F.lit(f))
+    other = lambda f: F.try_element_at("fields", alias(f))
+    by_alias = {f: ~F.coalesce(known(own(f)), F.lit(False)) & other(f).isNotNull() for f in target}
+    cell = {f: F.when(by_alias[f], other(f)).otherwise(own(f)) for f in target}
+    typed = {f: F.try_variant_get(cell[f], "$", kind) for f, kind in target.items()}
+    bad = {f: F.coalesce(typed[f].isNull() & known(cell[f]), F.lit(False)) for f in target}
+    failed = F.array_compact(F.array(*[F.when(bad[f], F.lit(f)) for f in target]))
+    read = F.array_compact(F.array(*[F.when(~bad[f], F.when(by_alias[f], alias(f)).otherwise(F.lit(f))) for f in target]))
+    rows = rows.select("file_name", "line_no", "line_id", "fields", *[c.alias(f"__{f}") for f, c in typed.items()], read.alias("__read"), failed.alias("failed"))
+    rest = F.transform_values(F.map_filter("fields", lambda k, v: ~F.array_contains("__read", k)), lambda k, v: F.to_json(v))
+    return rows.select("file_name", "line_no", "line_id", *[F.col(f"__{f}").alias(f) for f in target], rest.alias("rest"), "failed")
 
 
 def failed_casts(table: DataFrame) -> DataFrame:

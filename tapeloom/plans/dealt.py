@@ -38,29 +38,30 @@ where not exists (select 1 from slots x where x.ticker = s.ticker and x.slot = t
 """
 
 
-def _drift(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    values = written(drift.path_values(table(spark, at, "ledger_lines")), "lines")
-    schemas = written(drift.file_schemas(values), "schemas")
-    return values, schemas, drift.schema_changes(schemas)
-
-
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
-    schemas = written(drift.file_schemas(drift.path_values(table(spark, at, "ledger_lines"))), "schemas")
+    schemas = drift.file_schemas(drift.path_values(table(spark, at, "ledger_lines")))
     return drift.schema_changes(schemas).select("file_name", "field", "change", "new_field")
 
 
+def _consistent(spark: SparkSession, at: str) -> DataFrame:
+    values = written(drift.path_values(table(spark, at, "ledger_lines")), "lines")
+    schemas = written(drift.file_schemas(values), "schemas")
+    return drift.consistent_rows(values, schemas, drift.schema_changes(schemas))
+
+
 def p2_table(spark: SparkSession, at: str) -> DataFrame:
-    """Every readable line once, under the fields' first names and the target's types."""
-    return drift.consistent_rows(*_drift(spark, at))
+    """Every readable line once, under the fields' first names and the target's types; ``rest`` is a JSON object, ``failed`` a list of names."""
+    rest = F.transform(F.map_entries("rest"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
+    return _consistent(spark, at).withColumns({"rest": F.concat(F.lit("{"), F.array_join(F.array_sort(rest), ","), F.lit("}")), "failed": F.array_join("failed", ",")})
 
 
 def p2_failed_casts(spark: SparkSession, at: str) -> DataFrame:
-    return drift.failed_casts(p2_table(spark, at))
+    return drift.failed_casts(_consistent(spark, at))
 
 
-P2_SQL = """
-with good as (
-  select distinct on (file_name, line_no) file_name, line_no, payload::json as j
+_P2 = """
+with recursive good as (
+  select distinct on (file_name, line_no) file_name, line_no, line_id, payload::json as j
   from ledger_lines where payload is not null and case when json_valid(payload) then json_type(payload) = 'OBJECT' else false end
   order by file_name, line_no, received_at, line_id),
 sizes as (select file_name, count(*) as n_lines from good group by all),
@@ -83,12 +84,53 @@ pairs as (
 moved as (
   select *, coalesce(now, was) as type, row_number() over (partition by stream, no, coalesce(now, was), has order by field) as nth from pairs where has != had),
 swaps as (
-  select file_name, type, nth, max(case when had then field end) as gone, max(case when has then field end) as come from moved group by all)
-select file_name, field, 'retyped' as change, '' as new_field from pairs where has and had and now != was
-union all
-select file_name, coalesce(gone, come), case when gone is null then 'added' when come is null then 'removed' else 'renamed' end,
-  case when gone is not null and come is not null then come else '' end from swaps
-"""
+  select stream, no, file_name, type, nth, max(case when had then field end) as gone, max(case when has then field end) as come from moved group by all),
+changes as (
+  select stream, no, file_name, field, 'retyped' as change, '' as new_field from pairs where has and had and now != was
+  union all
+  select stream, no, file_name, coalesce(gone, come), case when gone is null then 'added' when come is null then 'removed' else 'renamed' end,
+    case when gone is not null and come is not null then come else '' end from swaps)"""
+P2_SQL = f"{_P2} select file_name, field, change, new_field from changes"
+
+
+def _p2_cell(field: str, kind: str) -> str:
+    """The raw value of a target field, and what its cast gives."""
+    text = f"json_extract_string(v_{field}, '$')"
+    return {
+        "string": f"case when json_type(v_{field}) in ('OBJECT', 'ARRAY') then json(v_{field})::varchar else {text} end",
+        "double": f"case when json_type(v_{field}) not in ('OBJECT', 'ARRAY') then try_cast({text} as double) end",
+        "bigint": f"case when json_type(v_{field}) not in ('OBJECT', 'ARRAY') then try_cast({text} as bigint) end",
+        "boolean": f"case when json_type(v_{field}) not in ('OBJECT', 'ARRAY') then try_cast({text} as boolean) end",
+        "array<string>": f"case when json_type(v_{field}) = 'ARRAY' then cast(v_{field} as varchar[]) end",
+    }[kind]
+
+
+_TARGETS = ", ".join(f"('{f}')" for f in drift.TARGET)
+_P2_TABLE = f"""{_P2},
+target(field) as (values {_TARGETS}),
+back as (select stream, no, field from changes where change = 'added' union select stream, no, new_field from changes where change = 'renamed'),
+ends as (
+  select s.stream, s.root, s.name, f.no from (select distinct r.stream, t.field as root, r.new_field as name from changes r, target t where r.change = 'renamed') s join files f on f.stream = s.stream
+  where exists (select 1 from changes c where c.stream = f.stream and c.no = f.no and c.field = s.name and c.change in ('removed', 'renamed')) or exists (select 1 from back c where c.stream = f.stream and c.no = f.no and c.field = s.root)),
+spans(stream, root, name, since, until) as (
+  select c.stream, c.field, c.new_field, c.no, (select min(e.no) from ends e where e.stream = c.stream and e.root = c.field and e.name = c.new_field and e.no > c.no)
+  from changes c where c.change = 'renamed' and c.field in (select field from target) and c.new_field not in (select field from target)
+  union all
+  select s.stream, s.root, c.new_field, c.no, (select min(e.no) from ends e where e.stream = c.stream and e.root = s.root and e.name = c.new_field and e.no > c.no)
+  from spans s join changes c on c.stream = s.stream and c.no = s.until and c.field = s.name and c.change = 'renamed' and c.new_field not in (select field from target)
+  where not exists (select 1 from back b where b.stream = s.stream and b.no = c.no and b.field = s.root)),
+names as (select f.file_name, map_from_entries(list((root, name))) as names from spans s join files f on f.stream = s.stream and f.no >= s.since and f.no < coalesce(s.until, 2147483647) group by f.file_name),
+rows as (select g.*, n.names from good g left join names n using (file_name)),
+picked as (select file_name, line_no, line_id, j, {", ".join(f"case when coalesce(json_type(j, '$.{f}'), 'NULL') = 'NULL' and list_contains(json_keys(j), names['{f}']) then names['{f}'] else '{f}' end as k_{f}" for f in drift.TARGET)} from rows),
+valued as (select *, {", ".join(f"json_extract(j, '$.' || k_{f}) as v_{f}" for f in drift.TARGET)} from picked),
+cast_rows as (select *, {", ".join(f"{_p2_cell(f, kind)} as {f}" for f, kind in drift.TARGET.items())} from valued),
+failing as (select *, list_filter([{", ".join(f"case when {f} is null and coalesce(json_type(v_{f}), 'NULL') != 'NULL' then '{f}' end" for f in drift.TARGET)}], lambda x: x is not null) as bad from cast_rows)"""
+P2_TABLE_SQL = f"""{_P2_TABLE}
+select file_name, line_no, line_id, {", ".join(drift.TARGET)}, array_to_string(bad, ',') as failed,
+  '{{' || coalesce(array_to_string(list_sort(list_transform(list_filter(json_keys(j), lambda k: not list_contains(list_filter([{", ".join(f"case when not list_contains(bad, '{f}') then k_{f} end" for f in drift.TARGET)}], lambda y: y is not null), k)),
+    lambda k: '"' || k || '":' || json(json_extract(j, '$."' || k || '"'))::varchar)), ','), '') || '}}' as rest
+from failing"""
+P2_FAILED_SQL = f"{_P2_TABLE} select file_name, field, count(*) as n from (select file_name, unnest(bad) as field from failing) group by all"
 
 
 def _known(spark: SparkSession, at: str, wide: list[str]) -> DataFrame:
@@ -208,4 +250,6 @@ QUERIES = {
     "p3_found": p3_found, "p3_attributes": p3_attributes, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found,
     "p6_found": p6_found, "p6_tables": p6_tables,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_attributes": P3_WIDE_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+SQL = {
+    "p1_found": P1_SQL, "p2_found": P2_SQL, "p2_table": P2_TABLE_SQL, "p2_failed_casts": P2_FAILED_SQL, "p3_found": P3_SQL, "p3_attributes": P3_WIDE_SQL, "p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL,
+}

@@ -179,6 +179,48 @@ def test_rename_chain_keeps_the_first_name(spark):
     assert rows(drift.failed_casts(table)) == [("s/dt=2026-06-03.jsonl", "qty", 1)]
 
 
+def table_of(spark, files, target):
+    values = drift.path_values(lines(spark, files))
+    schemas = drift.file_schemas(values)
+    return drift.consistent_rows(values, schemas, drift.schema_changes(schemas), target).orderBy("file_name", "line_no").collect()
+
+
+DAY = "s/dt=2026-06-0%d.jsonl"
+
+
+def test_a_name_that_is_removed_and_comes_back_is_read_as_itself(spark):
+    got = table_of(spark, {
+        DAY % 1: [{"qty": 1}], DAY % 2: [{"quantity": 2}], DAY % 3: [{"other": "x"}], DAY % 4: [{"qty": 4, "other": "x"}],
+        DAY % 5: [{"amount": 5, "other": "x"}], DAY % 6: [{"amount": 6, "other": "x"}, {"amount": 7, "quantity": 8}],
+    }, {"qty": "bigint"})
+    assert [(r.qty, r.rest) for r in got] == [(1, {}), (2, {}), (None, {"other": '"x"'}), (4, {"other": '"x"'}), (5, {"other": '"x"'}), (6, {"other": '"x"'}), (7, {"quantity": "8"})]
+
+
+def test_own_names_are_never_hidden_and_nothing_is_lost(spark):
+    got = table_of(spark, {
+        DAY % 1: [{"qty": 1, "tif": "a"}], DAY % 2: [{"quantity": 2}] * 4 + [{"quantity": 5, "qty": 7}, {"quantity": 6, "qty": None}, {"quantity": None, "qty": 8}],
+        DAY % 3: [{"quantity": 3, "qty": 9}, {"quantity": 4, "qty": 9}], DAY % 4: [{"quantity": "many", "qty": [1]}],
+    }, {"qty": "bigint", "tif": "string"})
+    assert [(r.qty, r.rest, r.failed) for r in got] == [
+        (1, {}, []), *[(2, {}, [])] * 4, (7, {"quantity": "5"}, []), (6, {"qty": "null"}, []), (8, {"quantity": "null"}, []),
+        (9, {"quantity": "3"}, []), (9, {"quantity": "4"}, []), (None, {"quantity": '"many"', "qty": "[1]"}, ["qty"]),
+    ]
+
+
+def test_a_rename_to_another_target_s_name_fills_that_column(spark):
+    got = table_of(spark, {DAY % 1: [{"a": 1}], DAY % 2: [{"b": 2}], DAY % 3: [{"x": 3}], DAY % 4: [{"a": 4}]}, {"a": "bigint", "b": "bigint"})
+    assert [(r.a, r.b) for r in got] == [(1, None), (None, 2), (None, 3), (4, None)]
+
+
+def test_paths_inside_of_objects(spark):
+    files = {DAY % 1: [{"a": {"b": 1, "c.d": {"e": []}}, "o": {}, "z": None}], DAY % 2: [{"a": {"b": "1"}, "o": {}, "z": 1}]}
+    values = drift.path_values(lines(spark, files), levels=3)
+    assert [sorted(r.fields) for r in values.orderBy("file_name").collect()] == [["a.b", "a.c\\.d.e", "o", "z"], ["a.b", "o", "z"]]
+    got = rows(drift.schema_changes(drift.file_schemas(values)).select("field", "change"))
+    assert got == [("a.b", "retyped"), ("a.c\\.d.e", "removed")]
+    assert [sorted(r.fields) for r in drift.path_values(lines(spark, files), levels=2).orderBy("file_name").collect()][0] == ["a.b", "a.c\\.d", "o", "z"]
+
+
 # --- p3
 
 
@@ -268,11 +310,67 @@ def test_repeated_and_deduplicated(spark):
     assert rows(dedup.repeated(df.where("false"), *args)) == []
 
 
-def test_a_second_writer_of_a_version_fails(spark, tmp_path):
-    store = dedup.SeenStore(spark, f"file://{tmp_path}/seen")
-    store._publish(1)
+def arrived():
+    return F.struct(F.col("delivered_at").isNull().alias("n"), F.col("delivered_at").alias("t"))
+
+
+def test_a_second_writer_leaves_the_first_one_s_bytes_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/seen"
+    winner, loser = dedup.SeenStore(spark, path), dedup.SeenStore(spark, path)
+    first = loser.snapshot()  # what the loser starts from
+    batch = lambda names: deliveries(spark, [(i, n, "a" * 64, at(i)) for i, n in enumerate(names)])
+    winner.ingest(batch(["x", "y", "z"]), key("a"), hash_key("b"), arrived(), "delivery_id")
+    files = {p: p.read_bytes() for p in (tmp_path / "seen").rglob("*") if p.is_file()}
+    loser.snapshot = lambda: first
     with pytest.raises(RuntimeError):
-        store._publish(1)
+        loser.ingest(batch(["x", "p", "q", "r"]), key("a"), hash_key("b"), arrived(), "delivery_id")
+    assert all(p.read_bytes() == b for p, b in files.items())
+    again = dedup.SeenStore(spark, path)
+    assert again.versions() == [1] and [r[0] for r in rows(again.dictionary())] == ["X", "Y", "Z"]
+    with pytest.raises(RuntimeError):
+        again._publish(1)
+
+
+def test_the_number_of_shards_is_stored(spark, tmp_path):
+    path = f"file://{tmp_path}/seen"
+    data = deliveries(spark, [(i, f"m{i}", "a" * 64, at(i)) for i in range(50)])
+    dedup.SeenStore(spark, path, shards=64).ingest(data, key("a"), hash_key("b"), arrived(), "delivery_id")
+    with pytest.raises(ValueError):
+        dedup.SeenStore(spark, path, shards=80)
+    again = dedup.SeenStore(spark, path)
+    assert again.shards == 64 and rows(again.ingest(data, key("a"), hash_key("b"), arrived(), "delivery_id")) == []
+
+
+def test_the_bit_decides_and_not_the_dictionary(spark, tmp_path):
+    store = dedup.SeenStore(spark, f"file://{tmp_path}/seen", shards=3)
+    ids = spark.createDataFrame([(f"m{i}", "x", i) for i in range(20)], "k1 string, k2 string, row_id bigint")
+    coded = store.encode(ids)
+    assert store.dictionary().count() == 20 and store.bitmaps().count() == 0
+    some = coded.where("row_id < 7")
+    assert {r.row_id for r in store.accept(some).collect()} == set(range(7))
+    assert {r.row_id for r in store.accept(coded).collect()} == set(range(7, 20))
+    assert rows(store.accept(store.encode(ids))) == []
+
+
+def test_folding_the_bitmaps_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "FOLD_AT", 2)
+    store = dedup.SeenStore(spark, f"file://{tmp_path}/seen", shards=2)
+    kept = []
+    for n in (3, 5, 9, 9, 12):
+        got = store.ingest(deliveries(spark, [(i, f"m{i}", "a" * 64, at(i)) for i in range(n)]), key("a"), hash_key("b"), arrived(), "delivery_id")
+        kept.append(sorted(r.row_id for r in got.collect()))
+    assert kept == [[0, 1, 2], [3, 4], [5, 6, 7, 8], [], [9, 10, 11]] and len(store.snapshot().bitmaps) <= 2
+
+
+def test_slices_do_not_matter_and_a_store_remembers(spark, tmp_path):
+    rng = random.Random(9)
+    data = [(i, rng.choice(["x", "y", "z", None]), rng.choice(["a" * 64, "b" * 64]), rng.choice([None, *map(at, range(9))])) for i in range(150)]
+    df, args = deliveries(spark, data), (key("a"), hash_key("b"), "delivered_at", "delivery_id")
+    whole = rows(dedup.repeated(df, *args, slices=1))
+    assert whole == rows(dedup.repeated(df, *args)) == rows(dedup.repeated(df, *args, slices=7)) and len(whole) > 100
+    store = dedup.SeenStore(spark, f"file://{tmp_path}/seen")
+    assert rows(dedup.repeated(df, *args, store)) == whole
+    assert len(rows(dedup.repeated(df, *args, store))) == sum(d[1] is not None for d in data)
 
 
 # --- p6
