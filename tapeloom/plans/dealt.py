@@ -167,18 +167,20 @@ qualify row_number() over (partition by signal_id order by f.e desc, f.a desc, d
 """
 
 
-def p4_found(spark: SparkSession, at: str) -> DataFrame:
-    fills = orphans.orphan_references(
-        table(spark, at, "paper_fills"), key("order_id"), "fill_row", "loaded_at", table(spark, at, "paper_orders"), key("order_id"), "loaded_at", "deleted_at", "paper_fills"
-    )
-    trades = orphans.orphan_references(
-        table(spark, at, "bracket_trades"), key("bracket_ticker"), "trade_row", "loaded_at", table(spark, at, "bracket_markets"), key("ticker"), "listed_at", "delisted_at", "bracket_trades"
-    )
+def _p4_both(spark: SparkSession, at: str, find) -> DataFrame:
+    """What ``find`` says of fills without their orders and of trades without their brackets."""
+    fills = find(table(spark, at, "paper_fills"), key("order_id"), "fill_row", "loaded_at", table(spark, at, "paper_orders"), key("order_id"), "loaded_at", "deleted_at", "paper_fills")
+    trades = find(table(spark, at, "bracket_trades"), key("bracket_ticker"), "trade_row", "loaded_at", table(spark, at, "bracket_markets"), key("ticker"), "listed_at", "delisted_at", "bracket_trades")
     return fills.unionByName(trades)
 
 
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    return _p4_both(spark, at, orphans.orphan_references)
+
+
 def p4_report(spark: SparkSession, at: str) -> DataFrame:
-    return orphans.orphan_report(p4_found(spark, at))
+    """Orphan references per table, day and kind, from counts per key and day."""
+    return _p4_both(spark, at, orphans.orphan_counts)
 
 
 def _p4_half(src: str, row: str, ref: str, parent: str, parent_key: str, arrived: str, ceased: str) -> str:

@@ -270,6 +270,27 @@ def test_orphans_of_every_kind(spark):
     assert {r[3] for r in run(children, parents.where("false"))} == {"missing"}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_orphans_and_their_counts_against_brute_force(spark, share):
+    rng = random.Random(12)
+    when = lambda: rng.choice([None, *[at(3600 * h + m) for h in range(0, 60, 5) for m in (0, 1)]])
+    child = [(i, rng.choice(["a", "a", "a", " A", "b", "c", "d", "e", "", None]), when()) for i in range(400)]
+    parent = [(rng.choice("abcd"), when(), when()) for _ in range(9)]
+    want = []
+    for i, k, t in child:
+        own = [p for p in parent if k and p[0] == k.strip().lower()]
+        first, gone = (min((p[n] for p in own if p[n]), default=None) for n in (1, 2))
+        kind = "missing" if not own else "late" if t and first and first > t else "deleted" if t and gone and gone <= t else None
+        if k and kind:
+            want.append(("t", i, t and t.strftime("%Y-%m-%d"), kind))
+    c = spark.createDataFrame(child, "row bigint, ref string, loaded_at timestamp_ntz")
+    p = spark.createDataFrame(parent, "ref string, listed timestamp_ntz, gone timestamp_ntz")
+    args = (c, key("ref"), "row", "loaded_at", p, key("ref"), "listed", "gone", "t", share)
+    assert rows(orphans.orphan_references(*args)) == sorted(want, key=repr)
+    assert rows(orphans.orphan_counts(*args)) == sorted(((*k, n) for k, n in Counter((s, d, kind) for s, _, d, kind in want).items()), key=repr)
+    assert rows(orphans.orphan_counts(c.where("false"), *args[1:])) == []
+
+
 # --- p5
 
 
