@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BRACKET = r"^([A-Z0-9]+)-(\d{2}[A-Z]{3}\d{4})-([BT])(\d+(?:\.\d+)?)$"
 #: The months as tokens spell them.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+#: Fixed value: YYMMMDDHH.
 HOUR_TOKEN = r"^\d{2}[A-Za-z]{3}\d{4}$"
 
 
@@ -31,8 +32,8 @@ def bracket(ticker: Column) -> Column:
 def hour_token_micros(token: Column, zone: str = "America/New_York") -> Column:
     """The instant of an hour token YYMMMDDHH of civil time in ``zone``; null for anything else."""
     t = F.upper(token)
-    spelled = F.concat(F.lit("20"), F.substring(t, 1, 2), F.lpad((F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(t, 3, 3))).cast("string"), 2, "0"), F.substring(t, 6, 4))
-    return F.when(token.rlike(HOUR_TOKEN), F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(spelled, F.lit("yyyyMMddHH")), zone)))
+    spelled = F.concat(F.lit("20"), F.substring(t, 1, 2), F.lpad((F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(t, 3, 3))).cast("string"), 2, "0"), F.substring(t, 6, 4), F.lit("Z"))
+    return F.when(token.rlike(HOUR_TOKEN), F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(spelled, F.lit("yyyyMMddHHX")), zone)))
 
 
 def number(text: Column) -> Column:

@@ -12,24 +12,20 @@ ISO = (
 )
 
 
-#: The basic form's date with hour and minute, and its second, fraction and zone.
-BASIC = r"^\s*(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})"
-BASIC_END = r"(T\d{2}:\d{2}):?(\d{2})([.,]\d+)?\s*(Z|[+-]\d{2}:?(?:\d{2})?)?\s*$"
-
-
 def micros(col: Column | str) -> Column:
-    """Microseconds of a timestamp without zone, read as UTC."""
+    """Microseconds of a time; one without zone, or a date, is read as UTC whatever the session's zone."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.unix_micros(c.cast("timestamp"))
+    days = F.unix_date(c.cast("date")).cast("bigint") * 86_400
+    of_day = (F.hour(c.cast("timestamp_ntz")) * 3600 + F.minute(c.cast("timestamp_ntz")) * 60).cast("bigint")
+    fraction = (F.extract(F.lit("SECOND"), c.cast("timestamp_ntz")) * 1_000_000).cast("bigint")
+    return F.when(F.typeof(c).isin("timestamp_ntz", "date"), (days + of_day) * 1_000_000 + fraction).otherwise(F.unix_micros(c.cast("timestamp")))
 
 
 def iso_micros(col: Column | str) -> Column:
-    """Microseconds of an ISO-8601 string; no zone means UTC; null where the string is no instant."""
+    """Microseconds of an ISO-8601 string with date and time; no zone means UTC; null where the string is no instant."""
     c = F.col(col) if isinstance(col, str) else col
-    spread = F.regexp_replace(F.upper(c), BASIC, "$1-$2-$3T$4:$5")
-    spread = F.regexp_replace(spread, r"(T\d{2}:\d{2})(?![:\d])", "$1:00")
-    spread = F.regexp_replace(spread, BASIC_END, "$1:$2$3$4")
-    return F.unix_micros(F.try_to_timestamp(F.regexp_replace(spread, ",", ".")))
+    spelled = F.replace(F.regexp_replace(F.upper(c), ISO, "$1-$2-$3T$4:$5:$6.$7$8"), F.lit(":."), F.lit(":00."))
+    return F.when(c.rlike(ISO), F.unix_micros(F.try_to_timestamp(F.regexp_replace(spelled, r"(T[^Z+-]*)$", "$1Z"))))
 
 
 def sql_iso_micros(expr: str) -> str:

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-ZONE = "spark.sql.session.timeZone"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` (a file or a folder of files). Its times are UTC, so the session's zone is set to that."""
-    if spark.conf.get(ZONE) != "UTC":
-        spark.conf.set(ZONE, "UTC")
+    """The Parquet table ``name`` (a file or a folder of files). Its times have no zone; :func:`tapeloom.functions.times.micros` reads them as UTC."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

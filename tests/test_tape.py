@@ -91,11 +91,25 @@ def test_stream_cadence_and_first_deliveries(spark, tmp_path):
     assert rows(once.select("c")) == [("p",), ("q",), ("r",), ("s",)]
 
 
-def test_tables_are_read_as_utc(spark, small):
-    from tapeloom.functions.times import micros
+def test_times_are_utc_whatever_the_session_s_zone(spark, small):
+    from tapeloom.functions import tickers
+    from tapeloom.functions.times import iso_micros, micros
     from tapeloom.sources.tables import table
 
-    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-    got = table(spark, small, "book_snapshots").select(F.min(micros("ts_utc"))).first()[0]
-    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
-    assert got == spark.read.parquet(f"{small}/book_snapshots.parquet").select(F.min(micros("ts_utc"))).first()[0]
+    def told():
+        strings = spark.createDataFrame([(x,) for x in ("2026-03-08T02:30:00", "20260308T0230Z", "2026-03-08 02:30:00.5+01:00")], "v string")
+        times = spark.sql("select timestamp_ntz'2026-03-08 02:30:00.000001' as a, timestamp_ntz'1969-12-31 23:59:59.5' as b, date'1970-01-02' as c, cast(null as timestamp_ntz) as d, timestamp'2026-03-08 02:30:00Z' as e")
+        return (
+            table(spark, small, "book_snapshots").agg(F.min(micros("ts_utc")), F.max(micros("ts_utc")), F.sum(F.pmod(micros("ts_utc"), F.lit(1000003)))).first(),
+            [r[0] for r in strings.select(iso_micros("v")).collect()], tuple(times.select(*[micros(c) for c in "abcde"]).first()),
+            spark.range(1).select(tickers.hour_token_micros(F.lit("26JUL0621"))).first()[0],
+        )
+
+    utc = told()
+    assert utc[1] == [1772937000000000, 1772937000000000, 1772933400500000]
+    assert utc[2] == (1772937000000001, -500000, 86400000000, None, 1772937000000000) and utc[3] == 1783386000000000
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert told() == utc and spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
