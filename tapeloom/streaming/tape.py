@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tapeloom.sources import tape
+
 GAPS = "market string, t bigint, expected bigint, got bigint, missed bigint"
 
 
@@ -38,9 +40,28 @@ def first_deliveries(stream: DataFrame, keys: list[str], at: str, delay: str) ->
 
 
 def cadence(stream: DataFrame, family: str, at: str, capture: str, width: str, delay: str) -> DataFrame:
-    """Captures per family and window: (family, starts, n_rows, n_captures), emitted once the watermark passes the window."""
-    counted = stream.withWatermark(at, delay).groupBy(F.window(at, width), family).agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct(capture, 0.01).alias("n_captures"))
-    return counted.select(family, F.col("window.start").alias("starts"), "n_rows", "n_captures")
+    """Captures per family and window: (family, starts, n_rows, n_captures), emitted once the watermark passes the window.
+
+    Rows are counted per capture first and captures after that, so the number is exact; what a
+    window keeps is one row per capture until it is emitted.
+    """
+    counted = stream.withWatermark(at, delay).groupBy(F.window(at, width), family, capture).agg(F.count(F.lit(1)).alias("m"))
+    by_window = counted.groupBy("window", family).agg(F.sum("m").alias("n_rows"), F.count(capture).alias("n_captures"))
+    return by_window.select(family, F.col("window.start").alias("starts"), "n_rows", "n_captures")
+
+
+def append_lines(stream: DataFrame, root: str, family: str, at: str, checkpoint: str, compression: str = "gzip") -> StreamingQuery:
+    """Append a stream's records to the family's days as canonical lines, exactly once; :func:`tapeloom.sources.tape.lines` reads them.
+
+    A record's own time decides its day, so the tape turns over at midnight UTC. Within a day each
+    micro-batch has a folder of its own, replaced when the batch runs again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        lines = tape.dated(batch, at).withColumn("batch", F.lit(number))
+        lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("dt", "batch").text(f"{root}/{family}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_once(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> StreamingQuery:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import sequence
@@ -45,6 +47,49 @@ def test_append_and_roll_up(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("n")) == [(2,), (9,)]
 
 
+def test_what_is_appended_is_read_again(spark, tmp_path):
+    df = spark.sql("select 2 as b, timestamp_ntz'2026-06-01 23:59:59.999999' as t union all select 3, timestamp_ntz'2026-06-02 00:00:00' union all select 4, null")
+    for k, compression in enumerate(("none", "gzip")):
+        tape.append(df, f"file://{tmp_path}", f"fam{k}", "t", compression)
+    tape.append(df.where("b = 3"), f"file://{tmp_path}", "fam1", "t")
+    read = tape.lines(spark, f"file://{tmp_path}")
+    got = rows(read.select("family", "dt", "file_name", F.get_json_object("line", "$.b")))
+    two, three = ("2026-06-01", "dt=2026-06-01.jsonl", "2"), ("2026-06-02", "dt=2026-06-02.jsonl", "3")
+    assert got == sorted((f, d, f"{f}/{n}", b) for f, (d, n, b) in [("fam0", two), ("fam0", three), ("fam1", two), ("fam1", three), ("fam1", three)])
+    assert list((tmp_path / "fam1").rglob("*.gz"))
+
+
+def test_a_stream_s_lines_are_read_again(spark, tmp_path):
+    schema = "b int, t timestamp"
+    at = lambda d, h: dt.datetime(2026, 6, d, h)
+    s = stream(spark, tmp_path, [[(1, at(1, 5)), (2, at(2, 5))], [(3, at(1, 9)), (4, None)]], schema)
+    for _ in range(2):
+        streams.append_lines(s, f"file://{tmp_path}/tape", "fam", "t", f"file://{tmp_path}/state").awaitTermination()
+    got = rows(tape.lines(spark, f"file://{tmp_path}/tape").select("dt", F.get_json_object("line", "$.b")))
+    assert got == [("2026-06-01", "1"), ("2026-06-01", "3"), ("2026-06-02", "2")]
+
+
+def test_canonical_bytes(spark):
+    values = [
+        {"b": "é \U0001f600 \"\\\n\u2028", "a": 1e-05, "n": None, "s": {"z": 1, "a": [1.5, 1e16, 123456789.0, 0.0001, 2.0]}},
+        {"b": "", "a": -0.0, "n": 7, "s": {"z": None, "a": []}}, {"b": None, "a": 1e22, "n": -1, "s": None},
+    ]
+    df = spark.createDataFrame(values, "b string, a double, n bigint, s struct<z: int, a: array<double>>")
+    want = [json.dumps(v, sort_keys=True, separators=(",", ":")) for v in values]
+    assert [r.c for r in df.select(tape.canonical(["s", "b", "n", "a"]).alias("c")).collect()] == want
+    assert rows(df.where("false").select(tape.canonical(["b"]))) == []
+
+
+def test_tagged_records_and_unknown_kinds(spark):
+    orders, fills = spark.createDataFrame([("o1", 5), ("o2", None)], "order_id string, qty int"), spark.createDataFrame([("f1", 0.5)], "fill_id string, price double")
+    ledger = tape.tagged({"order": orders, "fill": fills})
+    kinds = {"order": "order_id string, qty int", "fill": "fill_id string, price double"}
+    back = tape.untagged(ledger, kinds)
+    assert rows(back["order"]) == rows(orders) and rows(back["fill"]) == rows(fills)
+    with pytest.raises(Exception, match="unknown kind of record: fill"):
+        tape.untagged(ledger, {"order": kinds["order"]})["order"].collect()
+
+
 def test_pages_follow_their_cursors(spark, tmp_path):
     for series in ("a", "b"):
         (tmp_path / series).mkdir()
@@ -81,8 +126,6 @@ def test_stream_appends_once(spark, tmp_path):
 
 def test_stream_cadence_and_first_deliveries(spark, tmp_path):
     schema = "f string, at timestamp, c string"
-    import datetime as dt
-
     at = lambda m: dt.datetime(2026, 6, 1, 10, m)
     s = stream(spark, tmp_path, [[("x", at(1), "p"), ("x", at(1), "p"), ("x", at(2), "q")], [("x", at(30), "r")], [("x", at(50), "s")]], schema)
     got = streams.replayed(streams.cadence(s, "f", "at", "c", "10 minutes", "1 minute"), f"file://{tmp_path}/a")
