@@ -172,11 +172,11 @@ def laid(words, width=5, broken=True):
     return lines
 
 
-def scan(pages, items):
+def scan(pages, items, search=leak.Search()):
     """pages: lists of (line, x0), or of lines without boxes."""
     texts = [None if p is None else "\n".join(x if isinstance(x, str) else x[0] for x in p) for p in pages]
     boxes = pa.array([None if p is None or any(isinstance(x, str) for x in p) else [x[1] for x in p] for p in pages], pa.list_(pa.int32()))
-    patterns = leak.Patterns([i for i in (leak.Item.of(k, t) for k, t in enumerate(items)) if len(i.bounds) > leak.WORDS])
+    patterns = leak.Patterns([i for i in (leak.Item.of(k, t) for k, t in enumerate(items)) if len(i.bounds) > leak.WORDS], search)
     return sorted((p, patterns.items[i].item_id, n) for p, i, _, n, _ in leak.leaks(texts, boxes, patterns))
 
 
@@ -249,6 +249,86 @@ def test_strings_of_many_items_still_find_them(copies):
     assert len(alone) >= 0.9 * len(pages) and got == {(p, i) for p in alone for i in range(copies)}
 
 
+def damaged(rng, word, hard=1):
+    """A word with letters misread, or two of them run together."""
+    for _ in range(hard):
+        k = rng.randrange(len(word))
+        word = word[:k] + rng.choice(["x", "q", "", "zz"]) + word[k + 1 :]
+    return word
+
+
+def planted(rng, item, n):
+    """A page's lines with ``n`` words of the item, one in eight misread, lines between, broken words."""
+    first = rng.randrange(len(item) - n + 1)
+    words = item[first : first + n]
+    for k in rng.sample(range(n), n // leak.MISREAD_IN):
+        words[k] = damaged(rng, words[k])
+    lines = laid(passage(rng, 7) + words + passage(rng, 9), width=rng.randrange(3, 7), broken=rng.random() < 0.5)
+    for _ in range(rng.randrange(4)):
+        k = rng.randrange(len(lines))
+        lines[k:k] = laid(passage(rng, rng.randrange(1, 80)), 4, broken=False)
+    return lines
+
+
+def brute_case(lines, item):
+    """Whether a case stands in the lines: every start, every word, letter by letter, with lines in between skipped."""
+    column = leak.Column(*_stream(lines))
+    text = column.stream.decode()
+    made = leak.Item.of(0, " ".join(item))
+    for w in range(len(item)):
+        at = text.find(item[w])
+        while at >= 0:
+            if leak.Follower(column, made, None).case(at, made.bounds[w]):
+                return True
+            at = text.find(item[w], at + 1)
+    return False
+
+
+def _stream(lines):
+    parts = [leak.letters(x) for x in lines]
+    return b"".join(parts), np.cumsum([len(p) for p in parts]).tolist()
+
+
+def test_every_planted_case_is_found():
+    rng = random.Random(21)
+    items = [passage(rng, rng.randrange(30, 70)) for _ in range(12)]
+    pages, true = [], set()
+    for p in range(260):
+        i = rng.randrange(len(items))
+        lines = planted(rng, items[i], rng.randrange(26, len(items[i]) + 1))
+        pages.append(column([x.replace(" ", "") if rng.random() < 0.05 else x for x in lines], 100))
+        true.add((p, i))
+    got = {(p, i) for p, i, _ in scan(pages, [item_of(x) for x in items])}
+    exact = {(p, i) for p, i, _ in scan(pages, [item_of(x) for x in items], leak.EXACT)}
+    assert got == exact and got <= true and len(got) >= 0.98 * len(true), len(got)
+    for p, i in sorted(true):  # whatever is not found is none by brute force, either
+        lines = [x[0] for x in pages[p]]
+        assert ((p, i) in got) == brute_case([x.replace(" ", "") for x in lines], items[i])
+
+
+def test_a_line_s_end_is_not_taken_for_a_jump():
+    words = "notre maison est petite on sait que neuf cavaliers ont trouve la usine reparee chez la veuve malgre le froid on sait aussi que dix eleves ont trouve la porte fermee chez le maire".split()
+    lines = ["notre maison est petite on sait", "que neuf cavaliers", "0nt trouve la usine reparee", "chez la veuve malgre le froid on", "sait aussi que dix eleves", "ont trouve la porte fermee chez le maire"]
+    assert [(p, i) for p, i, _ in scan([column(lines, 0)], [" ".join(words)])] == [(0, 0)]
+
+
+def test_other_scripts_are_found(spark):
+    rng = random.Random(5)
+    greek = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(rng.randrange(3, 9))) for _ in range(40)]
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    box = lambda n: [(k, 1, k, 2, k, 0.5) for k in range(n)]
+    docs = [(1, " ".join(greek[4:36]).upper(), box(1)), (2, f"see: {cjk[5:40]}\n{cjk[40:50]} (end)", box(2)), (3, " ".join(greek[:20] + greek[25:]), box(1)), (4, "plain words", box(1))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lines array<struct<line_no: int, x0: int, y0: int, x1: int, y1: int, conf: float>>")
+    items = spark.createDataFrame([(7, " ".join(greek)), (8, cjk)], "item_id bigint, text string")
+    assert rows(leak.leaked(df, items).select("doc_id", "item_id")) == [(1, 7), (2, 8)]
+
+
+def test_too_many_items_are_refused(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lines array<struct<x0: int>>")
+    with pytest.raises(ValueError, match="more than 1"):
+        leak.leaked(docs, spark.createDataFrame([(1, "a"), (2, "b")], "item_id bigint, text string"), most_items=1)
+
+
 def test_leak_table(spark):
     rng = random.Random(6)
     item = passage(rng, 40)
