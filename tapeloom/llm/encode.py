@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -18,8 +19,8 @@ TOKENIZER_DIR = os.environ.get("TAPELOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how the public vocabulary splits a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 IDS = "doc_id bigint, ids array<int>"
-#: A worker forgets its words when it knows so many; this bounds memory and changes no result.
-KNOWN_WORDS = 400_000
+#: A worker forgets its words when it knows so many, or so many letters of them; this bounds memory and changes no result.
+KNOWN_WORDS, KNOWN_LETTERS = 400_000, 1 << 24
 NONE = np.iinfo(np.int64).max
 
 
@@ -35,6 +36,7 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes]):
         self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.longest_token = max(map(len, tokens))
         nodes, edges, accepts = {b"": 0}, [], [-1]
         for i, t in enumerate(tokens):
             at = 0
@@ -65,22 +67,36 @@ class Vocabulary:
         self.pair, self.made = pair[order], made[order]
 
     def merge(self, word: bytes, below: int = NONE) -> list[int]:
-        """Exact merging: the adjacent pair whose union has the least id (under ``below``) is united, the first of equals, until there is none."""
-        ranks = self.ranks
-        parts = [word[k : k + 1] for k in range(len(word))]
-        ids = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
-        while ids:
-            least = min(ids)
-            if least >= below:
-                break
-            k = ids.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del ids[k]
-            if k < len(ids):
-                ids[k] = ranks.get(parts[k] + parts[k + 1], NONE)
-            if k:
-                ids[k - 1] = ranks.get(parts[k - 1] + parts[k], NONE)
-        return [ranks[p] for p in parts]
+        """Exact merging: the adjacent pair whose union has the least id (under ``below``) is united, the first of equals, until there is none.
+
+        Pairs wait in a heap by id and place, parts are a linked list; so a word of n bytes takes
+        n log n steps.
+        """
+        get, n = self.ranks.get, len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        due = [get(word[k : k + 2], NONE) for k in range(n - 1)] + [NONE]  # by a part's start: what it and the next one make
+        heap = [(r, k) for k, r in enumerate(due) if r < below]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if due[k] != r:
+                continue
+            gone = after[k]
+            due[gone] = NONE
+            stop = after[k] = after[gone]
+            if stop < n:
+                before[stop] = k
+            for at, end in ((k, after[stop] if stop < n else n), (before[k], stop)):
+                if at < 0:
+                    continue
+                due[at] = r = get(word[at:end], NONE) if end - at <= self.longest_token and (at != k or stop < n) else NONE
+                if r < below:
+                    heapq.heappush(heap, (r, at))
+        out, k = [], 0
+        while k < n:
+            out.append(self.ranks[word[k : after[k]]])
+            k = after[k]
+        return out
 
     def united(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that a pair of tokens merges into, or NONE."""
@@ -170,17 +186,19 @@ class Encoder:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
+        self.letters = 0
         self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds by text); an empty and a null text have none."""
-        if len(self.code) > KNOWN_WORDS:
+        if len(self.code) > KNOWN_WORDS or self.letters > KNOWN_LETTERS:
             self.forget()
         found = [self.find(t) if t else [] for t in texts]
         code, new = self.code, []
         for w in set(chain.from_iterable(found)):
             if w not in code:
                 code[w] = len(code)
+                self.letters += len(w)
                 new.append(w.encode())
         if new:
             ids, bounds = self.vocabulary.encode_words(new)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,10 +40,10 @@ PAIRS = (
 STATES = (CLEAN, *(p[0] for p in PAIRS), LOST)
 #: Log probabilities: a text begins in an encoding pair; a line after clean ones does, or turns clean again; the state changes within a line.
 BEGIN, TURN, RETURN, WITHIN = -5.5, -6.5, -3.0, -14.0
+#: Runs whose inverses a worker remembers, and the longest such run; this bounds memory and changes no result.
+KNOWN_RUNS, KNOWN_RUN = 20_000, 48
 #: Log probability of what a state cannot emit, and of an unknown character.
 NEVER, UNKNOWN = -25.0, -16.0
-#: A text is looked at more closely when one of its characters is less likely than this as clean text.
-SUSPICIOUS = np.log(0.05)
 ROUNDS = 2
 POOL = 0x110000
 STAT = "key bigint, n bigint"
@@ -186,9 +186,12 @@ def undo(text: list[int], true: str, wrong: str) -> list[tuple[int, int, int]]:
     return [(k, 1, ord(_decode(b, true))) for k, b in enumerate(values) if b >= 0]
 
 
-@cache
 def _undone(run: tuple[int, ...], state: int) -> tuple[tuple[int, int, int], ...]:
     """What the run was before its state's pair was applied, as (start, length, code point)."""
+    return (_undone_known if len(run) <= KNOWN_RUN else _undo_run)(run, state)
+
+
+def _undo_run(run: tuple[int, ...], state: int) -> tuple[tuple[int, int, int], ...]:
     _, true, wrong, times = PAIRS[state - 1]
     parts = undo(list(run), true, wrong)
     for _ in range(times - 1):  # once more, over what came out; a part that is still wrong disappears
@@ -201,6 +204,9 @@ def _undone(run: tuple[int, ...], state: int) -> tuple[tuple[int, int, int], ...
     return tuple(parts)
 
 
+_undone_known = lru_cache(maxsize=KNOWN_RUNS)(_undo_run)
+
+
 def _emissions(text: str, runs: list[tuple[int, int]], model: Clean) -> np.ndarray:
     """Log probability of each run of characters beyond ASCII (rows) in each state (columns)."""
     table = np.full((len(runs), len(STATES)), 0.0)
@@ -314,22 +320,32 @@ def _as_bytes() -> list[np.ndarray]:
     return [np.array([to_byte(e).get(c, 0) for c in known], np.int64) for e in sorted({w for _, t, w, _ in PAIRS if t == "utf-8"})]
 
 
+def _best_stretch(gain: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest sum, text): by text, the greatest sum of ``gain`` over neighbouring characters; 0 at least."""
+    total = np.cumsum(gain)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    start = np.repeat(total[first] - gain[first], np.diff(np.append(first, len(gain))))
+    within = total - start  # up to and with each character of its own text
+    # The least sum ahead of each character, by text: texts are set apart by more than any sum.
+    apart = (np.abs(within).max() + 1) * (owner.max() - owner)
+    least = np.minimum.accumulate(np.minimum(within - gain, 0) + apart) - apart
+    return np.maximum.reduceat(np.maximum(within - np.minimum(least, 0), 0), first), owner[first]
+
+
 def suspects(x: Beyond, model: Clean) -> np.ndarray:
     """The texts in which some state could pay for its entry; in all others the clean path is the likeliest.
 
-    U+FFFD is in no clean text. A state that undoes single bytes can gain no more than the sum of
-    what it gains at single characters, and must make up for the cheapest entry. A state that
-    undoes UTF-8 needs a lead and a continuation side by side.
+    A path that beats the clean one has a stretch in some one state that gains more than the
+    cheapest entry costs. U+FFFD is in no clean text. What a state that undoes single bytes gains
+    over a stretch is the sum over its characters, those that it cannot emit among them; the
+    greatest such sum of each text is compared. A state that undoes UTF-8 gains nothing without
+    a lead and a continuation side by side.
     """
     if not len(x.point):
         return np.zeros(0, int)
-    clean = model.logp(x.point, x.before, x.after)
-    owner = x.owner - x.owner[0]
-    odd = np.zeros(owner[-1] + 1, bool)
-    odd[owner[clean < SUSPICIOUS]] = True
-    some = np.flatnonzero(odd[owner])
-    point, before, after, clean, owner = x.point[some], x.before[some], x.after[some], clean[some], owner[some]
-    out = np.zeros(len(odd), bool)
+    point, owner = x.point, x.owner - x.owner[0]
+    clean = model.logp(point, x.before, x.after)
+    out = np.zeros(owner[-1] + 1, bool)
     out[owner[point == 0xFFFD]] = True
     known = repertoire()
     at = np.minimum(np.searchsorted(known, point), len(known) - 1)
@@ -337,12 +353,16 @@ def suspects(x: Beyond, model: Clean) -> np.ndarray:
     for inverse in _inverses():
         back = np.where(inside, inverse[at], 0)
         able = np.flatnonzero(back > 0)
-        gain = np.maximum(model.logp(back[able], before[able], after[able]) - clean[able], 0)
-        out |= np.bincount(owner[able], gain, len(odd)) >= -max(BEGIN, TURN)
+        if not len(able):
+            continue
+        gain = NEVER - clean
+        gain[able] = model.logp(back[able], x.before[able], x.after[able]) - clean[able]
+        best, of = _best_stretch(gain, owner)
+        out[of[best >= -max(BEGIN, TURN) - 1e-6]] = True
     for table in _as_bytes():
         byte = np.where(inside, table[at], 0)
         lead, follows = (byte[:-1] >= 0xC2) & (byte[:-1] <= 0xF4), (byte[1:] >= 0x80) & (byte[1:] < 0xC0)
-        side = (after[:-1] == BEYOND) & (before[1:] == BEYOND) & (owner[1:] == owner[:-1])
+        side = (x.after[:-1] == BEYOND) & (x.before[1:] == BEYOND) & (owner[1:] == owner[:-1])
         out[owner[:-1][lead & follows & side]] = True
     return np.flatnonzero(out) + x.owner[0]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 from functools import lru_cache
 
 import numpy as np
@@ -144,6 +145,19 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert e([t])[0].tolist() == public().encode_ordinary(t)
 
 
+def test_a_million_letters_without_a_blank():
+    rng = random.Random(0)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    got = ids_of([word])[0]
+    took, tokens = time.time() - began, encode.read_ranks(RANKS)
+    same = b"".join(tokens[i] for i in got).decode() == word
+    assert took < 20 and same
+    short = word[:60_000] + "ab" * 20_000
+    same = ids_of([short])[0] == public().encode_ordinary(short)
+    assert same
+
+
 # --- p9
 
 
@@ -396,6 +410,29 @@ def test_the_quick_look_misses_nothing(corpus):
     assert all(i in quick for i, t in enumerate(texts) if any(x[2] for x in garble.label(t, model)))
 
 
+def test_the_greatest_stretch_against_brute_force():
+    rng = np.random.default_rng(4)
+    owner = np.sort(rng.integers(0, 9, 200))
+    gain = rng.normal(-0.3, 2, 200)
+    best, of = garble._best_stretch(gain, owner)
+    for o, b in zip(of, best):
+        own = gain[owner == o]
+        want = max([0, *(own[i:j].sum() for i in range(len(own)) for j in range(i + 1, len(own) + 1))])
+        assert np.isclose(b, want)
+
+
+def test_many_small_gains_are_not_passed_over(corpus):
+    _, model = corpus
+    texts = [spoil(t, "cp1252", w, 1) for t in ("à la fête, ça et là où l’été a été très gênant", "é è ê à ç ù ô î", "¿Qué? ¡Sí! año niño mañana") for w in ("cp437", "cp850", "mac-roman")]
+    quick = set(garble.suspects(garble.beyond_ascii(*garble._buffers(pa.array(texts))), model).tolist())
+    assert all(i in quick for i, t in enumerate(texts) if any(x[2] for x in garble.label(t, model)))
+
+
+def test_long_runs_are_undone_alike():
+    run = tuple(map(ord, "é".encode().decode("cp1252") * 40))
+    assert garble._undone(run, 1) == garble._undo_run(run, 1) == garble._undone_known(run, 1) and len(garble._undone(run, 1)) == 40
+
+
 def test_garbled_table(spark, corpus):
     _, model = corpus
     good = "La façade était fermée ; l’école aussi, à grands frais."
