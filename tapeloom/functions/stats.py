@@ -24,6 +24,29 @@ def order_statistic(df: DataFrame, keys: list[str], x: str, index: Column, out:
     return placed.where((index < F.col("upto")) & (index >= F.col("upto") - F.col("m"))).select(*keys, "n", F.col(x).alias(out))
 
 
+def parts(df: DataFrame, keys: list[str], x: str, low: Column, high: Column) -> DataFrame:
+    """Each distinct x of a key with how many of its rows are among the first ``low`` and how many from place ``high`` on, counted from 0: (keys, x, below, above).
+
+    ``low`` and ``high`` may use n, the key's number of rows; a null x comes last.
+    """
+    counted = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy(*keys)
+    placed = counted.withColumn("n", F.sum("m").over(w)).withColumn("upto", F.sum("m").over(w.orderBy(F.col(x).asc_nulls_last())))
+    below = F.least("m", F.greatest(low - (F.col("upto") - F.col("m")), F.lit(0)))
+    above = F.least("m", F.greatest(F.col("upto") - high, F.lit(0)))
+    return placed.select(*keys, x, below.cast("bigint").alias("below"), above.cast("bigint").alias("above"))
+
+
+def exact_quantile(df: DataFrame, x: str, p: float) -> Column:
+    """Quantile of all rows' x, interpolated between order statistics, as a scalar: equal values are counted and parts sorted, no task holds all."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("m"))
+    placed = running_total(counted, x, F.col("m"), "upto")
+    place = (df.agg(F.count(x)).scalar() - 1) * F.lit(float(p))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(x)))
+    low, high = F.floor(place), F.ceil(place)
+    return placed.agg((at(low) + (at(high) - at(low)) * (place - low)).alias("q")).scalar()
+
+
 def floor_index(p: float) -> Column:
     """Index of the percentile that takes the order statistic at the floor of p n."""
     return F.least(F.col("n") - 1, F.floor(F.col("n") * p))

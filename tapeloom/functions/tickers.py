@@ -57,3 +57,43 @@ def first_rule(text: Column, rules: dict[str, str], otherwise: str) -> Column:
 def cells(line: Column) -> Column:
     """The cells of a table row written with bars; an escaped bar belongs to its cell."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+
+
+#: Tags of prices and results that were really there.
+REAL_TAGS = ("real_ask", "real_bid", "broker_truth")
+
+
+def tag_or_synthetic(tag: Column) -> Column:
+    """The tag if it is a real one, else synthetic."""
+    return F.when(tag.isin(*REAL_TAGS), tag).otherwise("synthetic")
+
+
+def token_day(token: Column) -> Column:
+    """Days since 1970 of a token YYMMMDD; null for anything else."""
+    t = F.upper(token)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(t, 3, 3)).cast("int")
+    day = F.try_to_date(F.concat(F.lit("20"), F.substring(t, 1, 2), F.lpad(month.cast("string"), 2, "0"), F.substring(t, 6, 2)), "yyyyMMdd")
+    return F.when(t.rlike(r"^\d{2}[A-Z]{3}\d{2}$"), F.unix_date(day).cast("bigint"))
+
+
+def clock_micros(token: Column, hhmm: Column) -> Column:
+    """The instant of a day token with a time HHMM, read as UTC; null if it is no time."""
+    hour, minute = F.substring(hhmm, 1, 2).cast("int"), F.substring(hhmm, 3, 2).cast("int")
+    return F.when(hhmm.rlike(r"^([01]\d|2[0-3])[0-5]\d$"), token_day(token) * 86_400_000_000 + (hour * 60 + minute).cast("bigint") * 60_000_000)
+
+
+def rolled_year(month: Column, ends: Column) -> Column:
+    """The year of a month that was reported by the day ``ends``: the year before if the month comes later in the year."""
+    return F.year(ends) - (month > F.month(ends)).cast("int")
+
+
+def half_even(t: Column, width: int) -> Column:
+    """The nearest multiple of ``width``, as its number; halves go to the even one."""
+    rest = F.pmod(t, F.lit(width))
+    whole = F.call_function("div", t - rest, F.lit(width))
+    return whole + ((rest * 2 > width) | ((rest * 2 == width) & (F.pmod(whole, F.lit(2)) == 1))).cast("bigint")
+
+
+def slug(text: Column) -> Column:
+    """Small letters and digits, runs of anything else as one dash."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"))

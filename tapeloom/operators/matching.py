@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Small letters without accents."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+    split = pc.utf8_normalize(pa.array(text, pa.string(), from_pandas=True), "NFKD")
+    return pd.Series(pc.utf8_lower(pc.replace_substring_regex(split, r"\p{Mn}", "")).to_pandas().to_numpy(), text.index)
 
 
 def tokens(name: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -65,3 +66,132 @@ def by_preference(df: DataFrame, keys: list[str], column: str, preferred: list[s
 def initials_of(short: Column, words: Column) -> Column:
     """Whether ``short`` is spelled by the first letters of ``words``, in order and all of them."""
     return F.lower(short) == F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+
+
+#: Words that say nothing about a team, and names of a draw.
+NOISE = ("fc", "cf", "sc", "afc", "cd", "ac", "fk", "bk", "if", "club", "de", "do", "da", "the")
+DRAWS = ("draw", "tie")
+#: What each side, both together and the lead over the next must reach; the time gate; the longest abbreviation.
+LEAST_SIDE, LEAST_TOTAL, MARGIN, WITHIN_US, SHORT = 0.3, 1.2, 0.25, 3 * 3_600_000_000, 4
+
+
+def team_words(name: Column) -> Column:
+    """A team's words in order: accents folded, ASCII letters and digits, without noise words unless nothing else is left; null stays null."""
+    words = F.filter(F.split(F.regexp_replace(folded(name), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    kept = F.filter(words, lambda w: ~w.isin(*NOISE))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
+def _runs(words: Column) -> Column:
+    """The initials of every run of two to SHORT words."""
+    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    places = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(SHORT)), lambda n: F.substr(initials, i, F.least(n, F.size(words) - i + 1)))))
+
+
+def team_score(a: Column, b: Column) -> Column:
+    """How alike two teams' words are: 1 for the same, 0.85 where one holds the other, else up to 0.8 for shared words and abbreviations.
+
+    A word of up to SHORT letters stands for a run of initials or for the start of a word of the other name. ``a`` and ``b``
+    must be columns of a table, as :func:`team_words` gives them, for Python functions may not stand inside of lambdas.
+    """
+    sa, sb = F.array_distinct(a), F.array_distinct(b)
+    shared = F.size(F.array_intersect(sa, sb))
+    short = lambda own, other: F.size(F.filter(F.array_except(own, other), lambda t: (F.length(t) <= SHORT) & (F.array_contains(_runs(other), t) | F.exists(other, lambda w: F.startswith(w, t)))))
+    credit = (shared + short(sa, b) + short(sb, a)) / F.least(F.size(sa), F.size(sb))
+    score = F.when((shared == F.size(sa)) & (shared == F.size(sb)), 1.0).when((shared == F.size(sa)) | (shared == F.size(sb)), 0.85).otherwise(F.least(F.lit(0.8), 0.8 * credit))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), score).otherwise(0.0)
+
+
+def _blocks(words: Column) -> Column:
+    """Everything by which another name could refer to one of these words: the words, their starts, and runs of initials."""
+    starts = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.lit(SHORT)), lambda n: F.substr(w, F.lit(1), n))))
+    return F.array_distinct(F.filter(F.concat(words, starts, _runs(words)), lambda x: F.length(x) > 0))
+
+
+def match_events(left: DataFrame, right: DataFrame, within_us: int = WITHIN_US) -> DataFrame:
+    """Each event of ``left`` with the one of ``right`` of the same time and teams: (left_id, right_id, score, status).
+
+    Both are (id, one, two, t), teams as :func:`team_words`. Of the events within ``within_us``,
+    the score is the better sum over both orientations in which each side reaches LEAST_SIDE;
+    below LEAST_TOTAL there is no match, and one that leads the next by less than MARGIN is
+    ambiguous. Nothing is crossed: candidates share a time bucket and a word, its start or a run
+    of initials. Ties are ambiguous by the margin; rows without time match nothing but stay.
+    """
+    cell = lambda t: F.floor(t / within_us)
+
+    def spread(side: DataFrame, name: str, wide: bool) -> DataFrame:
+        buckets = F.array(*[cell(F.col("t")) + k for k in ((-1, 0, 1) if wide else (0,))])
+        block = F.array_union(_blocks(F.col("one")), _blocks(F.col("two")))
+        return side.where("t is not null").select(F.col("id").alias(name), F.explode(block).alias("block"), buckets.alias("cells")).select(name, "block", F.explode("cells").alias("cell"))
+
+    pairs = spread(left, "left_id", True).join(spread(right, "right_id", False), ["block", "cell"]).select("left_id", "right_id").distinct()
+    sides = [s.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("one", "two", "t")]) for s, n, p in ((left, "left_id", "l"), (right, "right_id", "r"))]
+    both = pairs.join(sides[0], "left_id").join(sides[1], "right_id").where(F.abs(F.col("l_t") - F.col("r_t")) <= within_us)
+
+    def total(x: str, y: str) -> Column:
+        a, b = team_score(F.col("l_one"), F.col(x)), team_score(F.col("l_two"), F.col(y))
+        return F.when(F.least(a, b) >= LEAST_SIDE, a + b).otherwise(0.0)
+
+    scored = both.select("left_id", "right_id", F.greatest(total("r_one", "r_two"), total("r_two", "r_one")).alias("score")).where(F.col("score") >= LEAST_TOTAL)
+    return _decided(left, scored, MARGIN)
+
+
+def _decided(left: DataFrame, scored: DataFrame, margin: float) -> DataFrame:
+    """The best scored right row of each left row, if it leads the next one by ``margin``."""
+    top = scored.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("b"))
+    rest = scored.join(top, "left_id").where(F.col("right_id") != -F.col("b.r")).groupBy("left_id").agg(F.max("score").alias("second"))
+    out = left.select(F.col("id").alias("left_id")).join(top, "left_id", "left").join(rest, "left_id", "left")
+    clear = F.col("second").isNull() | (F.col("b.score") - F.col("second") >= margin)
+    status = F.when(F.col("b").isNull(), "no_match").when(clear, "matched").otherwise("ambiguous")
+    return out.select("left_id", F.when(status == "matched", -F.col("b.r")).alias("right_id"), F.col("b.score").alias("score"), status.alias("status"))
+
+
+def best_name(name: Column, words: Column, names: Column, name_words: Column) -> Column:
+    """The place (from 1) of the one of ``names`` that ``name`` means, null if none or two equally; a draw means a draw only.
+
+    ``words`` are the name's, ``name_words`` those of each of ``names``, as :func:`team_words`.
+    """
+    is_draw = lambda x: F.lower(F.trim(x)).isin(*DRAWS)
+    places = F.transform(F.filter(F.transform(names, lambda n, i: F.struct((i + 1).alias("i"), n.alias("n"))), lambda x: is_draw(x["n"])), lambda x: x["i"])
+    scores = F.transform(names, lambda n, i: F.when(is_draw(n), 0.0).otherwise(team_score(words, F.get(name_words, i))))
+    top = F.array_max(scores)
+    once = F.size(F.filter(scores, lambda s: F.abs(s - top) < 1e-9)) == 1
+    return F.when(is_draw(name), F.get(places, F.lit(0))).when((top >= LEAST_SIDE) & once, F.array_position(scores, top)).cast("int")
+
+
+def holders(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each (id, words) of ``left`` with the only row of ``right`` that has all of its words: (left_id, right_id, status).
+
+    Several are ambiguous, none is unmatched; without words nothing matches. A left row meets
+    right rows by the rarest of its words only.
+    """
+    said = right.select(F.col("id").alias("right_id"), F.col("words").alias("has"), F.explode("words").alias("w"))
+    rare = said.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    asked = left.select(F.col("id").alias("left_id"), F.col("words").alias("asks"), F.explode("words").alias("w")).join(rare, "w", "left")
+    first = asked.groupBy("left_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w", "asks")).alias("x")).select("left_id", F.col("x.w").alias("w"), F.col("x.asks").alias("asks"))
+    found = first.join(said, "w").where(F.size(F.array_except("asks", "has")) == 0).groupBy("left_id").agg(F.count_distinct("right_id").alias("n"), F.min("right_id").alias("only"))
+    status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unmatched")
+    return left.select(F.col("id").alias("left_id")).join(found, "left_id", "left").select("left_id", F.when(F.col("n") == 1, F.col("only")).alias("right_id"), status.alias("status"))
+
+
+def classes(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
+    """Connected classes of a table of pairs (left_id, right_id) over ``ids`` (id): (id, class_id, n_links), the class by its smallest id.
+
+    Labels are passed along the links and over the labels themselves until nothing changes; every
+    round is written to the shared folder. More than ``rounds`` rounds are an error.
+    """
+    from tapeloom.session import written
+
+    links = written(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(pairs.select("right_id", "left_id")).where("a != b").distinct(), "links")
+    labels = written(ids.select("id", F.col("id").alias("label")).distinct(), "labels")
+    for _ in range(rounds):
+        near = links.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, F.col("id") == F.col("a"), "left").select("id", "label", F.least("label", "near").alias("new"))
+        jump = lower.select(F.col("id").alias("to"), F.col("new").alias("further"))
+        after = written(lower.join(jump, F.col("new") == F.col("to"), "left").select("id", "label", F.least("new", "further").alias("new")), "labels")
+        labels = after.select("id", F.col("new").alias("label"))
+        if after.where("label != new").isEmpty():
+            degree = links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+            return labels.join(degree, "id", "left").select("id", F.col("label").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    raise RuntimeError(f"classes still change after {rounds} rounds")

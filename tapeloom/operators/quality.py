@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,7 +53,27 @@ def streak_ledger(days: DataFrame, key: str, day: str, hit: str, candidate: int
     from ``candidate`` hit days on, else observed. Patterns without a hit have no state.
     """
     per = days.groupBy(key, day).agg(F.max(hit).alias("hit"))
-    last = per.withColumn("last_seen", F.max(F.when(F.col("hit"), F.col(day))).over(Window.partitionBy(key)))
+    seen = per.where("hit").groupBy(key).agg(F.max(day).alias("last_seen"))
+    last = per.join(seen, key)
     out = last.where("last_seen is not null").groupBy(key).agg(F.count_if("hit").alias("hit_days"), F.count_if(~F.col("hit") & (F.col(day) > F.col("last_seen"))).alias("misses"), F.max("last_seen").alias("last_seen"))
     status = F.when(F.col("misses") >= expired, "expired").when(F.col("hit_days") >= candidate, "candidate").otherwise("observed")
     return out.withColumn("status", status)
+
+
+def rounds(polls: DataFrame, keys: list[str], at: str, cadence_us: int) -> DataFrame:
+    """Fixed-rate rounds on start + k cadence: (keys, n_rounds, n_missed, n_dropped) by what came.
+
+    The start is the key's first poll. A boundary without a poll was missed, a second poll of one
+    round is dropped.
+    """
+    first = polls.groupBy(*keys).agg(F.min(at).alias("__first"))
+    number = F.call_function("div", F.col(at) - F.col("__first"), F.lit(cadence_us))
+    per = polls.join(first, keys).groupBy(*keys, number.alias("round")).agg(F.count(F.lit(1)).alias("m"))
+    return per.groupBy(*keys).agg((F.max("round") + 1).alias("n_rounds"), (F.max("round") + 1 - F.count(F.lit(1))).alias("n_missed"), F.sum(F.col("m") - 1).alias("n_dropped"))
+
+
+def ticks(legs: DataFrame, tick: str, leg: str, ok: str) -> DataFrame:
+    """Each tick over all legs that occur at all: (tick, n_legs, n_failed, n_absent, complete); a leg is fine if any of its rows is."""
+    per = legs.groupBy(tick, leg).agg(F.bool_or(ok).alias("ok"))
+    total = per.agg(F.count_distinct(leg)).scalar()
+    return per.groupBy(tick).agg(F.count(F.lit(1)).alias("n_legs"), F.count_if(~F.col("ok")).alias("n_failed"), F.bool_and("ok").alias("__all")).select(tick, "n_legs", "n_failed", (total - F.col("n_legs")).alias("n_absent"), (F.col("__all") & (F.col("n_legs") == total)).alias("complete"))

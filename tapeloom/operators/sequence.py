@@ -46,6 +46,55 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out
     return rows.join(base, [*keys, "__block"], "left").withColumn(out, here + F.coalesce("__base", F.lit(0))).drop("__block", "__value", "__base")
 
 
+def best_before(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: int = BLOCK) -> DataFrame:
+    """Adds ``out``, the least ``value`` (a number or a struct) of the key's rows with a smaller ``order``; null where there is none.
+
+    A running extreme in place of a join of all pairs, from one row per block; rows equal in ``order`` do not see each other.
+    """
+    rows = _split(df, order, width).withColumn("__value", value)
+    least = rows.groupBy(*keys, "__block").agg(F.min("__value").alias("__least"))
+    earlier = ordered(keys, ["__block"]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = least.select(*keys, "__block", F.min("__least").over(earlier).alias("__carry"))
+    # One row per place in the order, so that equal rows are left out together.
+    at = rows.groupBy(*keys, "__block", *order).agg(F.min("__value").alias("__least"))
+    here = F.min("__least").over(ordered([*keys, "__block"], order).rowsBetween(Window.unboundedPreceding, -1))
+    places = at.withColumn("__here", here).drop("__least").join(carried, [*keys, "__block"])
+    both = F.when(F.col("__here").isNull(), F.col("__carry")).when(F.col("__carry").isNull(), F.col("__here")).otherwise(F.least("__here", "__carry"))
+    return rows.join(places.select(*keys, "__block", *order, both.alias(out)), [*keys, "__block", *order], "left").drop("__block", "__value")
+
+
+def episodes(df: DataFrame, keys: list[str], order: list[str], state: Column, value: Column) -> DataFrame:
+    """Stretches of neighbouring rows in one state, null states left out: (keys, run, state, first, last, n, entry, peak).
+
+    ``first`` and ``last`` are the first order column's, ``entry`` is the value of the first row.
+    A null state ends a stretch.
+    """
+    marked = df.withColumn("__state", state).withColumn("__v", value)
+    near = beside(marked, keys, order, ["__state"], "__before")
+    new = F.col("__before").isNull() | ~F.col("__state").eqNullSafe(F.col("__before.__state"))
+    numbered = running(near.withColumn("__new", new), keys, order, F.col("__new").cast("bigint"), "run").where("__state is not null")
+    out = numbered.groupBy(*keys, "run").agg(F.max("__state").alias("state"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n"), F.min_by("__v", F.struct(*order)).alias("entry"), F.max("__v").alias("peak"))
+    return out
+
+
+def without_largest_product(steps: DataFrame, keys: list[str], x: str, y: str, order: list[str], least: int) -> DataFrame:
+    """Correlation of x and y without the row of the largest centred cross-product: (keys, n, r), null without variance.
+
+    The product is (n x - sum x)(n y - sum y), whole numbers throughout; of equals the last row in
+    ``order`` goes. Keys with fewer than ``least`` rows are left out.
+    """
+    known = steps.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy")).where(F.col("n") >= least)
+    product = F.abs((F.col("n") * F.col(x) - F.col("sx")) * (F.col("n") * F.col(y) - F.col("sy")))
+    largest = F.max(F.struct(product.alias("p"), *order, F.col(x).alias("x"), F.col(y).alias("y"))).alias("l")
+    gone = known.join(sums, keys).groupBy(*keys).agg(largest).select(*keys, "l.x", "l.y")
+    left = sums.join(gone, keys)
+    n = (F.col("n") - 1).cast("double")
+    sx, sy, sxx, syy, sxy = (c.cast("double") for c in (F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("sxx") - F.col("x") * F.col("x"), F.col("syy") - F.col("y") * F.col("y"), F.col("sxy") - F.col("x") * F.col("y")))
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    return left.select(*keys, (F.col("n") - 1).alias("n"), F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.sqrt(vx) / F.sqrt(vy)).alias("r"))
+
+
 def deltas(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Adds d_<column>, the change against the key's row before; null on its first row or where either is null."""
     near = beside(df, keys, order, columns, "__before")
@@ -98,17 +147,19 @@ def membership_changes(df: DataFrame, group: list[str], step: str, member: str)
     """Members that came or went between consecutive steps of a group: (group, step, member, change).
 
     Compared by presence at the neighbouring steps, one row per member and step, so that no set
-    is gathered. The first step adds nothing and the last removes nothing.
+    is gathered; steps and members are sorted in blocks. The first step adds nothing and the last
+    removes nothing.
     """
     there = df.where(F.col(member).isNotNull()).select(*group, step, member).distinct()
     steps = there.select(*group, step).distinct()
-    w = ordered(group, [step])
-    steps = steps.withColumn("before", F.lag(step).over(w)).withColumn("after", F.lead(step).over(w))
-    placed = there.join(steps, [*group, step])
-    m = ordered([*group, member], [step])
-    shown = placed.withColumn("seen", F.lag(step).over(m)).withColumn("next", F.lead(step).over(m))
-    came = shown.where("before is not null and not (seen <=> before)").select(*group, step, member, F.lit("added").alias("change"))
-    went = shown.where("after is not null and not (next <=> after)").select(*group, F.col("after").alias(step), member, F.lit("removed").alias("change"))
+    for name, ahead in (("__earlier", False), ("__later", True)):
+        steps = beside(steps, group, [step], [step], name, ahead=ahead, width=1024)
+    steps = steps.select(*group, step, F.col(f"__earlier.{step}").alias("before"), F.col(f"__later.{step}").alias("after"))
+    shown = there.join(steps, [*group, step])
+    for name, ahead in (("__seen", False), ("__next", True)):
+        shown = beside(shown, [*group, member], [step], [step], name, ahead=ahead, width=1024)
+    came = shown.where(F.col("before").isNotNull() & ~F.col(f"__seen.{step}").eqNullSafe(F.col("before"))).select(*group, step, member, F.lit("added").alias("change"))
+    went = shown.where(F.col("after").isNotNull() & ~F.col(f"__next.{step}").eqNullSafe(F.col("after"))).select(*group, F.col("after").alias(step), member, F.lit("removed").alias("change"))
     return came.unionByName(went)
 
 
@@ -155,10 +206,11 @@ def leave_one_out(df: DataFrame, keys: list[str], row: str, x: str, y: str, leas
 
 
 def missing_periods(df: DataFrame, keys: list[str], period: str) -> DataFrame:
-    """Whole numbers between a key's smallest and largest that it lacks: (keys, period), from the gaps between neighbours."""
-    w = ordered(keys, [period])
-    gaps = df.where(F.col(period).isNotNull()).select(*keys, period).distinct().withColumn("next", F.lead(period).over(w)).where(F.col("next") > F.col(period) + 1)
-    return gaps.select(*keys, F.explode(F.sequence(F.col(period) + 1, F.col("next") - 1)).alias(period))
+    """Gaps in the whole numbers between a key's smallest and largest: (keys, first, last, n), one row per gap, however long."""
+    there = df.where(F.col(period).isNotNull()).select(*keys, period).distinct()
+    near = beside(there, keys, [period], [period], "__next", ahead=True, width=1024)
+    gaps = near.where(F.col(f"__next.{period}") > F.col(period) + 1)
+    return gaps.select(*keys, (F.col(period) + 1).alias("first"), (F.col(f"__next.{period}") - 1).alias("last"), (F.col(f"__next.{period}") - F.col(period) - 1).alias("n"))
 
 
 def sequence_gaps(df: DataFrame, keys: list[str], order: list[str], seq: str, is_snapshot: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from tapeloom.functions import ladder, stats, tickers
 from tapeloom.functions.keys import key, sql_key
 from tapeloom.functions.times import climate_day, floor_div, iso_micros, sql_iso_micros
 from tapeloom.operators import asof, forecast, quality, sequence, sets
-from tapeloom.plans.reference import BOOKS, CAPTURES, DAY, HOUR, books, captures, r6
+from tapeloom.plans.reference import BOOKS, CAPTURES, DAY, EVENTS, HOUR, books, captures, events, r6
 from tapeloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -63,15 +63,15 @@ def tick_sizes(spark, at):
     return sequence.deltas(d, ["series"], ["v"], ["v"]).groupBy("series").agg(F.min("d_v").alias("tick"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {CAPTURES}, h as (select symbol, cast(floor(t / {HOUR}.0) as bigint) as hour, count(*) as n from captures where symbol is not null and t is not null group by all),
-j as (select p.symbol, p.hour, list(h.n order by h.hour) as l from h p join h on p.symbol = h.symbol and h.hour between p.hour - 7 and p.hour group by all)
-select symbol, hour, {r6("list_aggregate(list_transform(l, lambda x: 1 + x / 1000.0::double), 'product') - 1")} as compound from j where len(l) = 8""")
+@query(f"""with {EVENTS}, h as (select event_type, cast(floor(t / {HOUR}.0) as bigint) as hour, count(*) as n from ev where event_type is not null and t is not null group by all),
+j as (select p.event_type, p.hour, list(h.n order by h.hour) as l from h p join h on p.event_type = h.event_type and h.hour between p.hour - 7 and p.hour group by all)
+select event_type, hour, {r6("list_aggregate(list_transform(l, lambda x: 1 + x / 1000.0::double), 'product') - 1")} as compound from j where len(l) = 8""")
 def compound_of_eight_hours(spark, at):
     """The compounded growth over eight full hours, in their order."""
-    h = captures(spark, at).where("symbol is not null and t is not null").groupBy("symbol", floor_div(F.col("t"), HOUR).alias("hour")).agg(F.count(F.lit(1)).alias("m"))
-    spread = h.select("symbol", "m", F.col("hour").alias("own"), F.explode(F.sequence(F.col("hour"), F.col("hour") + 7)).alias("hour"))
-    eight = spread.join(h.select("symbol", "hour"), ["symbol", "hour"]).groupBy("symbol", "hour").agg(F.array_sort(F.collect_list(F.struct("own", "m"))).alias("l")).where(F.size("l") == 8)  # eight at most
-    return eight.select("symbol", "hour", stats.rounded(F.aggregate("l", F.lit(1.0), lambda a, x: a * (1 + x["m"] / F.lit(1000.0))) - 1).alias("compound"))
+    h = events(spark, at).where("event_type is not null and t is not null").groupBy("event_type", floor_div(F.col("t"), HOUR).alias("hour")).agg(F.count(F.lit(1)).alias("m"))
+    spread = h.select("event_type", "m", F.col("hour").alias("own"), F.explode(F.sequence(F.col("hour"), F.col("hour") + 7)).alias("hour"))
+    eight = spread.join(h.select("event_type", "hour"), ["event_type", "hour"]).groupBy("event_type", "hour").agg(F.array_sort(F.collect_list(F.struct("own", "m"))).alias("l")).where(F.size("l") == 8)  # eight at most
+    return eight.select("event_type", "hour", stats.rounded(F.aggregate("l", F.lit(1.0), lambda a, x: a * (1 + x["m"] / F.lit(1000.0))) - 1).alias("compound"))
 
 
 _PAIRS = f"""with {BOOKS}, p as (select series, ask - bid <= 200 as tight, bid is not distinct from lag(bid) over w and ask is not distinct from lag(ask) over w and lag(1) over w is not null as frozen, lag(1) over w is null as first,
@@ -119,12 +119,12 @@ def thin_days(spark, at):
     return d.join(most, "symbol").select("symbol", "d", "n", (F.col("n") < 0.8 * F.col("most")).alias("thin"))
 
 
-@query(f"""with {CAPTURES}, b as (select symbol, case when (t // 60000000) % 60 between 20 and 29 then 'a' when (t // 60000000) % 60 between 50 and 59 then 'b' else 'other' end as bucket from captures where t >= 0 and symbol is not null),
+@query(f"""with {CAPTURES}, b as (select symbol, case when (cast(floor(t / 60000000.0) as bigint) % 60 + 60) % 60 between 20 and 29 then 'a' when (cast(floor(t / 60000000.0) as bigint) % 60 + 60) % 60 between 50 and 59 then 'b' else 'other' end as bucket from captures where t is not null and symbol is not null),
 c as (select symbol, count(*) filter (where bucket = 'a') as a, count(*) filter (where bucket = 'b') as b, count(*) filter (where bucket = 'other') as other from b group by symbol)
 select *, case when a = 0 and b > 0 then 'a silent' when b = 0 and a > 0 then 'b silent' when a = 0 and b = 0 then 'both silent' else 'ok' end as verdict from c""")
 def silent_collectors(spark, at):
     minute = F.pmod(floor_div(F.col("t"), 60_000_000), F.lit(60))
-    c = captures(spark, at).where("t >= 0 and symbol is not null").groupBy("symbol").agg(F.count_if(minute.between(20, 29)).alias("a"), F.count_if(minute.between(50, 59)).alias("b"), F.count_if(~minute.between(20, 29) & ~minute.between(50, 59)).alias("other"))
+    c = captures(spark, at).where("t is not null and symbol is not null").groupBy("symbol").agg(F.count_if(minute.between(20, 29)).alias("a"), F.count_if(minute.between(50, 59)).alias("b"), F.count_if(~minute.between(20, 29) & ~minute.between(50, 59)).alias("other"))
     verdict = F.when((F.col("a") == 0) & (F.col("b") > 0), "a silent").when((F.col("b") == 0) & (F.col("a") > 0), "b silent").when((F.col("a") == 0) & (F.col("b") == 0), "both silent").otherwise("ok")
     return c.withColumn("verdict", verdict)
 

@@ -218,11 +218,11 @@ def first_last_and_settlement(spark, at):
     return s.join(c, "event")
 
 
-@query(f"""with {CAPTURES}, x as (select cast(floor(t / {HOUR}.0) as bigint) as hour, symbol from captures where t is not null and symbol is not null)
-select hour from x group by hour having count(distinct symbol) = (select count(distinct symbol) from x)""")
-def hours_with_every_symbol(spark, at):
-    x = captures(spark, at).where("t is not null and symbol is not null").select(floor_div(F.col("t"), HOUR).alias("hour"), "symbol")
-    return sets.complete_periods(x, "hour", "symbol")
+@query(f"""with {EVENTS}, x as (select cast(floor(t / {HOUR}.0) as bigint) as hour, event_type from ev where t is not null and event_type is not null)
+select hour from x group by hour having count(distinct event_type) = (select count(distinct event_type) from x)""")
+def hours_with_every_event_type(spark, at):
+    x = events(spark, at).where("t is not null and event_type is not null").select(floor_div(F.col("t"), HOUR).alias("hour"), "event_type")
+    return sets.complete_periods(x, "hour", "event_type")
 
 
 @query(f"""with f as (select {sql_key("order_id")} as o, {sql_key("ticker")} as k from paper_fills)
@@ -272,10 +272,10 @@ def liquidity_census(spark, at):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bid").isNull()).alias("n_no_bid"), F.count_if(F.col("ask").isNull()).alias("n_no_ask"), F.sum("depth").alias("levels"), F.grouping_id().alias("grain"))
 
 
-@query(f"""with {BOOKS}, x as (select series, cast(floor(t / {HOUR}.0) as bigint) % 24 as hour, bid, ask from books where t >= 0)
+@query(f"""with {BOOKS}, x as (select series, (cast(floor(t / {HOUR}.0) as bigint) % 24 + 24) % 24 as hour, bid, ask from books)
 select series, hour, count(*) as n, case when count(*) >= 20 then {r6("avg(ask - bid)")} end as mean_spread, case when count(*) < 20 then 'insufficient' else 'ok' end as verdict, cast(grouping(series) * 2 + grouping(hour) as bigint) as grain from x group by cube (series, hour)""")
 def anatomy_cube(spark, at):
-    x = books(spark, at).where("t >= 0").select("series", F.pmod(floor_div(F.col("t"), HOUR), F.lit(24)).alias("hour"), (F.col("ask") - F.col("bid")).alias("spread"))
+    x = books(spark, at).select("series", F.pmod(floor_div(F.col("t"), HOUR), F.lit(24)).alias("hour"), (F.col("ask") - F.col("bid")).alias("spread"))
     n = F.count(F.lit(1))
     return x.cube("series", "hour").agg(n.alias("n"), F.when(n >= 20, stats.rounded(F.sum("spread") / F.count("spread"))).alias("mean_spread"), F.when(n < 20, "insufficient").otherwise("ok").alias("verdict"), F.grouping_id().alias("grain"))
 
@@ -338,10 +338,10 @@ def spread_by_age(spark, at):
 @query("""with x as (select user_id, x, row_number() over (partition by user_id order by x, event_id) - 1 as r, count(*) over (partition by user_id) as n from (select user_id, event_id, cast(json_extract_string(props, '$.k') as bigint) as x from events))
 select user_id, count(*) filter (where r < n // 3) as n_low, cast(sum(x) filter (where r < n // 3) as bigint) as low, cast(sum(x) filter (where r >= 2 * n // 3) as bigint) as high from x group by user_id""")
 def tercile_split(spark, at):
-    w = Window.partitionBy("user_id")
-    x = events(spark, at).withColumn("r", F.row_number().over(w.orderBy("x", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    low, high = F.col("r") < F.floor(F.col("n") / 3), F.col("r") >= F.floor(2 * F.col("n") / 3)
-    return x.groupBy("user_id").agg(F.count_if(low).alias("n_low"), F.sum(F.when(low, F.col("x"))).alias("low"), F.sum(F.when(high, F.col("x"))).alias("high"))
+    """Sums of the lowest and highest third of each user's values; equal values are counted before anything is sorted."""
+    split = stats.parts(events(spark, at), ["user_id"], "x", F.floor(F.col("n") / 3), F.floor(2 * F.col("n") / 3))
+    low, high = F.col("below") > 0, F.col("above") > 0
+    return split.groupBy("user_id").agg(F.sum("below").alias("n_low"), F.sum(F.when(low, F.col("x") * F.col("below"))).alias("low"), F.sum(F.when(high, F.col("x") * F.col("above"))).alias("high"))
 
 
 @query(f"""with c as (select user_id, event_type, count(*) as n from events group by all), t as (select user_id, sum(n) as n from c group by user_id)
@@ -428,17 +428,17 @@ def jump_reversals(spark, at):
 
 
 @query("""with x as (select distinct cast(floor(epoch_us(o_orderdate) / 86400000000.0) as bigint) as d, o_custkey as c from orders), g as (select c, d, lead(d) over (partition by c order by d) as n from x)
-select c, cast(sum(n - d - 1) as bigint) as n_missing, max(n - d - 1) as longest from g where n > d + 1 and n - d < 40 group by c""")
+select c, cast(sum(n - d - 1) as bigint) as n_missing, max(n - d - 1) as longest from g where n > d + 1 group by c""")
 def missing_order_days(spark, at):
     x = table(spark, at, "orders").select(F.col("o_custkey").alias("c"), floor_div(micros("o_orderdate"), DAY).alias("d"))
-    gaps = x.distinct().withColumn("m", F.lead("d").over(sequence.ordered(["c"], ["d"])) - F.col("d") - 1).where("m > 0")
-    return gaps.groupBy("c").agg(F.sum("m").alias("n_missing"), F.max("m").alias("longest"))
+    return sequence.missing_periods(x, ["c"], "d").groupBy("c").agg(F.sum("n").alias("n_missing"), F.max("n").alias("longest"))
 
 
-@query(f"""with {BOOKS}, x as (select ticker, d from (select distinct ticker, d from books)), g as (select ticker, d, lead(d) over (partition by ticker order by d) as n from x where d between 0 and 100000)
-select ticker, u.d from g, unnest(generate_series(g.d + 1, g.n - 1)) as u(d) where n > g.d + 1""")
+@query(f"""with {BOOKS}, g as (select ticker, d, lead(d) over (partition by ticker order by d) as next from (select distinct ticker, d from books))
+select ticker, d + 1 as first, next - 1 as last, next - d - 1 as n from g where next > d + 1""")
 def missing_days(spark, at):
-    return sequence.missing_periods(books(spark, at).where("d between 0 and 100000"), ["ticker"], "d")
+    """Each ticker's gaps in days, however long, as first and last missing day."""
+    return sequence.missing_periods(books(spark, at), ["ticker"], "d")
 
 
 @query(f"""with {EVENTS}, n as (select user_id, t, event_id, event_id // 7 as seq, event_type = 'signup' as snap from ev), g as (select *, lag(seq) over (partition by user_id order by t, event_id) + 1 as expected from n)
@@ -568,9 +568,9 @@ _VALUES = "v as (select user_id as u, cast(json_extract_string(props, '$.k') as
 
 
 @query(f"""with {_VALUES}, per as (select u, sum(y) as s, count(*) as c, row_number() over (order by u) - 1 as i from v group by u), n as (select count(*) as n from per),
-draws as (select b, (((b * 7919 + i * 104729 + 42) * 1103515245 + 12345) % 2147483648) % n.n as k from per, n, range(200) as t(b)),
+draws as (select b, {bootstrap.sql_drawn("b", "i", "n.n")} as k from per, n, range({bootstrap.SAMPLES}) as t(b)),
 means as (select b, sum(s)::double / sum(c) as mean from draws join per on per.i = draws.k group by b), r as (select mean, row_number() over (order by mean) - 1 as r from means)
-select (select n from n) as n_units, cast((select sum(y) from v) as bigint) as total, (select count(*) from v) as n, {r6("(select mean from r where r = 5)")} as low, {r6("(select mean from r where r = 195)")} as high""")
+select (select n from n) as n_units, cast((select sum(y) from v) as bigint) as total, (select count(*) from v) as n, {r6("(select mean from r where r = 250)")} as low, {r6("(select mean from r where r = 9750)")} as high""")
 def bootstrap_interval(spark, at):
     v = events(spark, at).select(F.col("user_id").alias("u"), (F.col("x") - 50).alias("y"))
     out = bootstrap.cluster_bootstrap(v, "u", "y")

@@ -39,18 +39,18 @@ def change_statistics(spark, at):
     )
 
 
-@query(f"""with {CAPTURES} select cast(floor(t / {HOUR}.0) as bigint) % 24 as hour, count(*) as n, {r6("cast(count(*) filter (where spot is null) as double) / count(*)")} as null_share from captures where t >= 0 group by 1""")
+@query(f"""with {CAPTURES} select (cast(floor(t / {HOUR}.0) as bigint) % 24 + 24) % 24 as hour, count(*) as n, {r6("cast(count(*) filter (where spot is null) as double) / count(*)")} as null_share from captures where t is not null group by 1""")
 def null_share_by_hour(spark, at):
-    c = captures(spark, at).where("t >= 0")
+    c = captures(spark, at).where("t is not null")
     n = F.count(F.lit(1))
     return c.groupBy(F.pmod(floor_div(F.col("t"), HOUR), F.lit(24)).alias("hour")).agg(n.alias("n"), stats.rounded(F.count_if(F.col("spot").isNull()).cast("double") / n).alias("null_share"))
 
 
-@query(f"""with {BOOKS}, x as (select ticker, d, ask - bid as s, least(coalesce(lead(t) over (partition by ticker order by t, snap_id) - t, 0), {HOUR}) as us from books)
+@query(f"""with {BOOKS}, x as (select ticker, d, ask - bid as s, coalesce(lead(t) over (partition by ticker order by t, snap_id) - t, 0) as us from books)
 select ticker, cast(sum(us) as bigint) as us, cast(coalesce(sum(us) filter (where s <= 200), 0) as bigint) as us_tight from x group by ticker""")
 def time_weighted_tightness(spark, at):
     b = sequence.beside(books(spark, at), ["ticker"], ["t", "snap_id"], ["t"], "next", ahead=True)
-    x = b.withColumn("us", F.least(F.coalesce(F.col("next.t") - F.col("t"), F.lit(0)), F.lit(HOUR)))
+    x = b.withColumn("us", F.coalesce(F.col("next.t") - F.col("t"), F.lit(0)))
     tight = F.col("ask") - F.col("bid") <= 200
     return x.groupBy("ticker").agg(F.sum("us").alias("us"), F.coalesce(F.sum(F.when(tight, F.col("us"))), F.lit(0)).alias("us_tight"))
 
@@ -82,7 +82,7 @@ def brier_scores(spark, at):
 select user_id, {r6("h.a - g.a")} as fall from h join g using (user_id)""")
 def early_against_late(spark, at):
     e = events(spark, at).where("x is not null")
-    cut = events(spark, at).agg(F.median("t")).scalar()
+    cut = stats.exact_quantile(events(spark, at), "t", 0.5)
     early, late = F.avg(F.when(F.col("t") < cut, F.col("x"))), F.avg(F.when(F.col("t") >= cut, F.col("x")))
     return e.groupBy("user_id").agg(stats.rounded(early - late).alias("fall")).where("fall is not null")
 
@@ -104,19 +104,6 @@ def preferred_source(spark, at):
     return matching.by_preference(f, ["ticker"], "price_source_tag", ["real_bid", "real_ask"], ["n"])
 
 
-_NAMES = """names as (select distinct regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g') as name from documents where source is not null),
-w as (select name as id, list_distinct(list_filter(string_split(name, ' '), lambda x: x != '')) as words from names)"""
-
-
-@query(f"""with {_NAMES}, p as (select a.id as left_id, b.id as right_id, len(list_intersect(a.words, b.words)) as shared, len(a.words) as x, len(b.words) as y from w a join w b on a.id != b.id and len(list_intersect(a.words, b.words)) > 0)
-select left_id, right_id, {r6("shared / (x + y - shared)::double")} as score from p where shared / (x + y - shared)::double >= 0.5""")
-def alike_names(spark, at):
-    """Pairs of different source names that share half of their words or more."""
-    names = table(spark, at, "documents").where("source is not null").select(F.regexp_replace(F.lower("source"), r"[^a-z0-9]+", " ").alias("name")).distinct()
-    words = names.select(F.col("name").alias("id"), matching.tokens(F.col("name")).alias("words"))
-    return matching.scored_pairs(words, words, 0.5).where("left_id != right_id").select("left_id", "right_id", stats.rounded(F.col("score")).alias("score"))
-
-
 @query("""with t as (select line_id, unnest(case when json_type(j) = 'ARRAY' then cast(j as json[]) when json_type(j, '$.manifests') = 'ARRAY' then cast(json_extract(j, '$.manifests') as json[]) else [j] end) as r from (select line_id, payload::json as j from game_pair_lines where payload is not null and json_valid(payload) and trim(payload) != '')),
 x as (select line_id, coalesce(json_extract_string(r, '$.game.event_title'), json_extract_string(r, '$.event_title')) as title, coalesce(json_extract_string(r, '$.game.event_ticker'), json_extract_string(r, '$.event_ticker')) as ticker from t)
 select line_id, regexp_extract(title, '^(.+) at (.+)$', 1) as away, regexp_extract(title, '^(.+) at (.+)$', 2) as home, upper(left(regexp_extract(title, '^(.+) at (.+)$', 1), 3)) || upper(left(regexp_extract(title, '^(.+) at (.+)$', 2), 3)) = regexp_extract(ticker, '-[0-9]{2}[A-Z]{3}[0-9]{2}([A-Z]{6})', 1) as agrees from x where regexp_matches(title, '^(.+) at (.+)$') and ticker is not null""")

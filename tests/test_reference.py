@@ -58,9 +58,9 @@ def test_gated_runs_burst_and_sustained(spark):
 
 
 def test_membership_and_missing(spark):
-    df = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 3, "b"), ("g", 3, None), ("g", 7, "a"), ("g", 7, "b")], "g string, d int, m string")
+    df = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 3, "b"), ("g", 3, None), ("g", 7, "a"), ("g", 7, "b")], "g string, d bigint, m string")
     assert rows(sequence.membership_changes(df, ["g"], "d", "m")) == [("g", 3, "a", "removed"), ("g", 7, "a", "added")]
-    assert [r[1] for r in rows(sequence.missing_periods(df, ["g"], "d"))] == [2, 4, 5, 6]
+    assert rows(sequence.missing_periods(df, ["g"], "d")) == [("g", 2, 2, 1), ("g", 4, 6, 3)]
 
 
 def test_ladder_expressions(spark):
@@ -106,12 +106,21 @@ def test_long_silences_count_as_missing_order_days(spark, tmp_path):
     assert rows(reference.missing_order_days(spark, str(tmp_path))) == sorted(want) == [(1, 496, 458), (2, 6, 6), (5, 49, 49)]
 
 
+def draw(b, s, n):
+    """The index of a unit, as the operator's docstring has it."""
+    m, (p, q, r, t) = bootstrap.PRIME, bootstrap.MULTIPLIERS
+    x = ((b + bootstrap.SEED) * p % m * q + (s + 1) * r) % m
+    x = (x * x + b * t) % m
+    x = (x * x + s) % m
+    return (x * p + bootstrap.SEED) % m % n
+
+
 def test_bootstrap_takes_ten_thousand_samples_of_units(spark):
     data = [(u, (u * u * 7 + k * 3) % 41 - 20) for u in range(9) for k in range(u % 4 + 1)] + [(None, 99), (3, None)]
     per = [[y for v, y in data if v == u and y is not None] for u in range(9)]
     means = []
     for b in range(10_000):
-        drawn = [per[((b * 7919 + s * 104_729 + 42) * 1_103_515_245 + 12_345) % 2**31 % 9] for s in range(9)]
+        drawn = [per[draw(b, s, 9)] for s in range(9)]
         means.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
     means.sort()
     got = bootstrap.cluster_bootstrap(spark.createDataFrame(data, "u bigint, y bigint"), "u", "y").first()
