@@ -14,12 +14,10 @@ TOLERANCE_US = 600_000_000
 
 
 def _pairs(spark: SparkSession, at: str) -> DataFrame:
-    settles, captures = f"{at.rstrip('/')}/hour_settles.parquet", f"{at.rstrip('/')}/hour_captures.parquet"
-    return nearest.replay(
-        spark, settles, captures, "settle_id bigint, event_ticker string, settle_close_iso string", "capture_row bigint, event_ticker string, captured_at string",
-        [key("event_ticker").alias("entity"), iso_micros("settle_close_iso").alias("t"), F.col("settle_id").alias("id")],
-        [key("event_ticker").alias("entity"), iso_micros("captured_at").alias("t"), F.col("capture_row").alias("id")], TOLERANCE_US,
-    )
+    entity = key("event_ticker").alias("entity")
+    settles = table(spark, at, "hour_settles").select(entity, iso_micros("settle_close_iso").alias("t"), F.col("settle_id").alias("id"))
+    captures = table(spark, at, "hour_captures").select(entity, iso_micros("captured_at").alias("t"), F.col("capture_row").alias("id"))
+    return nearest.replay(settles, captures, TOLERANCE_US)
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:

@@ -35,12 +35,9 @@ def test_equals_sql(spark, duck, small, name):
 # --- p7
 
 
-def paired(spark, tmp_path, lefts, rights, heavy=None):
-    for name, data in (("l", lefts), ("r", rights)):
-        spark.createDataFrame(data, "entity string, t bigint, id bigint, bucket int, salt string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
-    schema = "entity string, t bigint, id bigint, bucket int, salt string"
-    columns = [F.col("entity"), F.col("t"), F.col("id")]
-    return rows(nearest.replay(spark, f"{tmp_path}/l", f"{tmp_path}/r", schema, schema, columns, columns, 10 * MINUTE))
+def paired(spark, lefts, rights, **how):
+    schema = "entity string, t bigint, id bigint, shard int, k1 string"
+    return rows(nearest.replay(spark.createDataFrame(lefts, schema), spark.createDataFrame(rights, schema), 10 * MINUTE, **how))
 
 
 def brute(lefts, rights):
@@ -53,20 +50,42 @@ def brute(lefts, rights):
     return sorted(out, key=repr)
 
 
-def test_nearest_against_brute_force(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("file_rows", [1_000_000, 9])
+@pytest.mark.parametrize("heavy", [{}, {"a": 3}])
+def test_nearest_against_brute_force(spark, monkeypatch, heavy, file_rows):
     rng = random.Random(2)
-    monkeypatch.setattr(nearest, "heavy_entities", lambda right, share=0: ["a"])  # split over states
-    border = nearest.BUCKET_S * 1_000_000
-    times = [border + k * MINUTE for k in (-11, -10, -5, -1, 0, 1, 5, 10, 11, 25)] + [None, 3, 10 * MINUTE + 3, 10 * MINUTE + 4]
+    monkeypatch.setattr(nearest, "heavy_entities", lambda right, shards, share=0: heavy)
+    times = [600 * MINUTE + k * MINUTE for k in (-11, -10, -5, -1, 0, 1, 5, 10, 11, 25)] + [None, 3, 10 * MINUTE + 3, 10 * MINUTE + 4, -5, nearest.LAST_US + 1]
     make = lambda n, first: [(rng.choice(["a", "b", "c", None]), rng.choice(times), first + i, 0, "clash") for i in range(n)]
     lefts, rights = make(60, 0), make(60, 1000)
-    assert paired(spark, tmp_path, lefts, rights) == brute(lefts, rights)
+    in_range = lambda d: [r for r in d if r[1] is None or r[1] <= nearest.LAST_US]
+    assert paired(spark, lefts, rights, file_rows=file_rows, files=1) == brute(in_range(lefts), in_range(rights))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
-def test_nearest_of_nothing(spark, tmp_path):
+def test_heavy_entities_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 5)
+    df = spark.createDataFrame([("a", 1, i) for i in range(30)] + [("b", 1, i) for i in range(60)] + [(f"c{i}", 1, i) for i in range(10)], "entity string, t bigint, id bigint")
+    assert nearest.heavy_entities(df, 10, 0.2) == {"a": 6, "b": 10}
+
+
+def test_nearest_of_nothing(spark):
     one = [("a", 5, 1, 0, "")]
-    for n, (a, b) in enumerate(((one, []), ([], one), ([], []))):
-        assert paired(spark, tmp_path / str(n), a, b) == []
+    for a, b in ((one, []), ([], one), ([], [])):
+        assert paired(spark, a, b) == []
+
+
+def test_pairs_of_many_entities_against_brute_force():
+    rng = np.random.default_rng(7)
+    side = lambda n: np.column_stack([rng.integers(-2, 2, n), rng.integers(0, 2, n), rng.integers(0, 60, n), np.arange(n)])
+    lefts, rights = side(80), side(50)
+    got = nearest.nearest(lefts, rights, 4)
+    want = []
+    for a, b, t, i in lefts.tolist():
+        near = [(abs(t - u), u, j) for c, d, u, j in rights.tolist() if (a, b) == (c, d) and abs(t - u) <= 4]
+        want += [(i, min(near)[2])] if near else []
+    assert sorted(zip(got["left_id"], got["right_id"])) == want
+    assert not len(nearest.nearest(lefts, rights[:0], 4)) and not len(nearest.nearest(lefts[:0], rights, 4))
 
 
 def test_state_is_emitted_and_evicted():
@@ -90,7 +109,7 @@ def test_state_is_emitted_and_evicted():
     import pandas as pd
 
     run, state = nearest._pair(10 * MINUTE), State()
-    feed = lambda *r: list(run(None, iter([pd.DataFrame(r, columns=["t", "id", "is_left"])]), state))
+    feed = lambda *r: list(run(None, iter([pd.DataFrame([(5, 6, *x) for x in r], columns=["k1", "k2", "t", "id", "is_left"])]), state))
     assert feed((30 * MINUTE, 1, True), (26 * MINUTE, 7, False)) == []
     assert feed((33 * MINUTE, 8, False)) == []
     state.now = 40 * 60_000
