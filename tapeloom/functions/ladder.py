@@ -84,3 +84,11 @@ def complement(levels: Column) -> Column:
 def coordinate(kind: Column, low: Column, high: Column) -> Column:
     """Where a rung lies: the middle of a bracket, else the bound it has."""
     return F.when(kind == "between", (low + high) / 2).otherwise(F.coalesce(low, high))
+
+
+def normalized(yes: Column, no: Column) -> Column:
+    """(yes_bid, yes_ask, no_bid, no_ask, depth): best bids of both sides in any order of levels, each ask one less the other's bid, and the number of levels."""
+    best = lambda side: F.array_max(F.transform(side, price))
+    levels = lambda side: F.coalesce(F.array_size(side), F.lit(0))
+    y, n = best(yes), best(no)
+    return F.struct(y.alias("yes_bid"), F.round(1 - n, 4).alias("yes_ask"), n.alias("no_bid"), F.round(1 - y, 4).alias("no_ask"), (levels(yes) + levels(no)).alias("depth"))

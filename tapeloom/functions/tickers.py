@@ -97,3 +97,13 @@ def half_even(t: Column, width: int) -> Column:
 def slug(text: Column) -> Column:
     """Small letters and digits, runs of anything else as one dash."""
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"))
+
+
+#: Fixed value: SERIES-YYMMMDD, then two team codes and a number.
+GAME = r"^([A-Z0-9]+)-(\d{2}[A-Z]{3}\d{2})([A-Z]{3})([A-Z]{3})(\d*)$"
+
+
+def game(ticker: Column) -> Column:
+    """(series, day, away, home, error) of a game's ticker; the parts are empty and error says why if it is none."""
+    g = lambda n: F.regexp_extract(ticker, GAME, n)
+    return F.struct(g(1).alias("series"), g(2).alias("day"), g(3).alias("away"), g(4).alias("home"), F.when(~ticker.rlike(GAME), "no game").alias("error"))

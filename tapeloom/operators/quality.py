@@ -77,3 +77,15 @@ def ticks(legs: DataFrame, tick: str, leg: str, ok: str) -> DataFrame:
     per = legs.groupBy(tick, leg).agg(F.bool_or(ok).alias("ok"))
     total = per.agg(F.count_distinct(leg)).scalar()
     return per.groupBy(tick).agg(F.count(F.lit(1)).alias("n_legs"), F.count_if(~F.col("ok")).alias("n_failed"), F.bool_and("ok").alias("__all")).select(tick, "n_legs", "n_failed", (total - F.col("n_legs")).alias("n_absent"), (F.col("__all") & (F.col("n_legs") == total)).alias("complete"))
+
+
+def reconciled(now: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """What today's (key, flag) says to each pattern's (key, hits, days, expired): (key, event, hits).
+
+    A flag without hits before is ``observed``, one with them a ``recheck_hit``; no flag after hits
+    is a ``recheck_miss`` unless the pattern has expired. A pattern that was not looked at today
+    has no row, one of which nothing is said a null event.
+    """
+    both = now.join(state, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    event = F.when(F.col("hits") == 0, F.when(F.col("flag"), "observed")).when(F.col("flag"), "recheck_hit").when(~F.coalesce("expired", F.lit(False)), "recheck_miss")
+    return both.select(key, event.alias("event"), "hits")

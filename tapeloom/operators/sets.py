@@ -47,3 +47,18 @@ def interval_sums(prints: DataFrame, hourly: DataFrame, key: str, hour: str, wid
     spread = prints.select(key, F.col(hour).alias("at"), F.explode(F.sequence(F.col(hour) - (width - 1), F.col(hour))).alias(hour))
     joined = spread.join(hourly.select(key, hour, value), [key, hour], "left").groupBy(key, "at").agg(F.count(value).alias("n"), F.sum(value).alias("total"))
     return joined.select(key, F.col("at").alias(hour), "n", F.when(F.col("n") == width, F.col("total")).alias("total"), F.when(F.col("n") == width, "full").when(F.col("n") > 0, "partial").otherwise("none").alias("status"))
+
+
+def fold(caches: list[DataFrame], keys: list[str], stored: DataFrame) -> DataFrame:
+    """Several caches as one, by key: the first cache that has a key keeps it (``source``, from 1); keys that are stored, and null ones, are left out.
+
+    Caches may lack columns of others; of a key's rows in one cache any of the least stays.
+    """
+    every = None
+    for n, cache in enumerate(caches, 1):
+        one = cache.withColumn("source", F.lit(n))
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    whole = every.where(F.expr(" and ".join(f"{k} is not null" for k in keys)))
+    rest = [c for c in every.columns if c not in keys and c != "source"]
+    first = whole.groupBy(*keys).agg(F.min(F.struct("source", *rest)).alias("x"))
+    return first.select(*keys, "x.*").join(stored.select(*keys).distinct(), keys, "left_anti")
