@@ -277,6 +277,7 @@ def alike(word: bytes) -> bytes:
     return word
 
 
+@lru_cache(maxsize=50_000)
 def misread(word: bytes, seen: bytes) -> bool:
     """Whether ``seen`` can be the word with some letters misread: half of it is still there, pairs that look like one letter counting as it."""
     word, seen = alike(word), alike(seen)
@@ -517,9 +518,9 @@ def _across(column: Column) -> np.ndarray:
 def plausible(columns: list[Column], x: np.ndarray, begins: np.ndarray, column: np.ndarray, item: np.ndarray, patterns: Patterns, at_once: int = 512, most_lines: int = 200) -> np.ndarray:
     """Which pairs (column, item) hold, in any order, enough pieces of some stretch of WORDS words.
 
-    First some of the pieces are looked for, then all, those across the ends of lines among them
-    (in columns of ``most_lines`` lines; in longer ones such pieces count as lost). Pieces are told by 16 bits, so that
-    no pair is lost.
+    First some of the pieces are looked for, then all, then those across the ends of lines, too,
+    which count as lost until then (and in columns of more than ``most_lines`` lines for good).
+    Pieces are told by 16 bits, so that no pair is lost.
     """
     good = np.zeros(len(column), bool)
     bounds = np.append(begins, len(x) + 1)
@@ -536,7 +537,8 @@ def plausible(columns: list[Column], x: np.ndarray, begins: np.ndarray, column:
         left = []
         for group in groups:
             p = patterns.pieces[item[group[0]]]
-            left.append(group[_enough(holds, column[group] - low, p.code[::EVERY], p.some_first, p.some_end, p.fewest_some)])
+            group = group[_enough(holds, column[group] - low, p.code[::EVERY], p.some_first, p.some_end, p.fewest_some)]
+            left.append(group[_enough(holds, column[group] - low, p.code, p.first, p.end, p.fewest - p.at_ends)] if len(group) else group)
         short = np.zeros(high - low, bool)
         for c in np.unique(np.concatenate([column[g] for g in left])).tolist():
             if len(columns[c].ends) <= most_lines:
