@@ -42,10 +42,15 @@ def cdf(x: pd.Series, mean: pd.Series, sd: pd.Series) -> pd.Series:
     return pd.Series(_phi(z), x.index).where(good)
 
 
+def crps_of(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Continuous ranked probability score of normal forecasts with sd > 0."""
+    z = (x - mean) / sd
+    return sd * (z * (2 * _phi(z) - 1) + 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi))
+
+
 @F.pandas_udf(DoubleType())
 def crps(x: pd.Series, mean: pd.Series, sd: pd.Series) -> pd.Series:
     """Continuous ranked probability score of a normal forecast; null unless sd > 0."""
     good = (sd > 0) & x.notna() & mean.notna()
-    z = ((x - mean) / sd).where(good, 0.0).to_numpy(float)
-    score = z * (2 * _phi(z) - 1) + 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi)
-    return pd.Series(score, x.index).mul(sd).where(good)
+    score = crps_of(x.where(good, 0.0).to_numpy(float), mean.where(good, 0.0).to_numpy(float), sd.where(good, 1.0).to_numpy(float))
+    return pd.Series(score, x.index).where(good)

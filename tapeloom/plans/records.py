@@ -223,6 +223,16 @@ def own_series(spark, at):
     return m.select("delivery_id", F.coalesce(own, F.get("series", F.lit(0))).alias("own"))
 
 
+@query(f"""with {BOOKS}, x as (select event, ticker, t, snap_id, ask - coalesce(lag(ask) over (partition by ticker order by t, snap_id), 0) as step, row_number() over (partition by ticker order by t, snap_id) as n from books where ask is not null),
+s as (select *, sum(step) over (partition by event order by t, snap_id) as asks, count(*) filter (where n = 1) over (partition by event order by t, snap_id) as n_seen from x) select ticker, snap_id, cast(asks as bigint) as asks, n_seen from s where n = 1""")
+def siblings_at_entry(spark, at):
+    """At each ticker's first ask the sum of the asks that its event's tickers then had: a running sum of their changes, siblings are not paired."""
+    b = sequence.beside(books(spark, at).where("ask is not null"), ["ticker"], ["t", "snap_id"], ["ask"], "before")
+    b = b.withColumns({"step": F.col("ask") - F.coalesce("before.ask", F.lit(0)), "first": F.col("before").isNull().cast("bigint")})
+    s = sequence.running(sequence.running(b, ["event"], ["t", "snap_id"], F.col("step"), "asks"), ["event"], ["t", "snap_id"], F.col("first"), "n_seen")
+    return s.where("first = 1").select("ticker", "snap_id", "asks", "n_seen")
+
+
 # --- aggregations
 
 
