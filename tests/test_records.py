@@ -63,3 +63,63 @@ def test_game_tickers(spark):
     df = spark.createDataFrame([("KXGAME-26JUN02ESTMUN43",), ("KXGAME-26JUN02",), (None,)], "t string")
     got = [tuple(r.g) for r in df.select(tickers.game(F.col("t")).alias("g")).collect()]
     assert got[0] == ("KXGAME", "26JUN02", "EST", "MUN", None) and got[1][4] == "no game"
+
+
+def test_reports_alerts_and_snapshots(spark, tmp_path):
+    import json
+
+    from tapeloom.sources import reports
+
+    df = spark.sql("select 'a|b' as k, date'2026-06-01' as d, array(2, 1) as x, named_struct('y', 1) as s union all select null, null, null, null")
+    assert reports.write_report(df, f"file://{tmp_path}/r", "Days") == 2
+    said = json.loads((tmp_path / "r.json").read_text())
+    assert said["title"] == "Days" and {"k": "a|b", "d": "2026-06-01", "x": [2, 1], "s": {"y": 1}} in said["rows"]
+    assert "| a\\|b | 2026-06-01 |" in (tmp_path / "r.md").read_text()
+    with pytest.raises(ValueError):
+        reports.write_report(df, f"file://{tmp_path}/r", "Days", most=1)
+    posted = []
+    assert reports.alert(df, F.col("k") == "x", posted.append) == 0 and not posted
+    assert reports.alert(df, F.col("k").isNotNull(), posted.append) == 1 and posted[0].startswith("1 alerts")
+    for n in (1, 2):
+        reports.write_snapshot(spark.range(n), f"file://{tmp_path}/snap")
+    assert spark.read.parquet(f"file://{tmp_path}/snap").count() == 2 and [p.name for p in tmp_path.glob("snap*")] == ["snap"]
+
+
+def test_orders_come_ahead_of_fills_in_one_sequence(spark):
+    from tapeloom.sources import reports
+
+    orders, fills = spark.createDataFrame([(5, "o2"), (1, "o1")], "t int, id string"), spark.createDataFrame([(0, "f1"), (3, "f2")], "t int, id string")
+    got = reports.in_order([("order", orders, "t"), ("fill", fills, "t")]).orderBy("seq").collect()
+    assert [(r.kind, r.line) for r in got] == [("order", '{"id":"o1","t":1}'), ("order", '{"id":"o2","t":5}'), ("fill", '{"id":"f1","t":0}'), ("fill", '{"id":"f2","t":3}')]
+
+
+def test_sheets_of_workbooks(spark, tmp_path):
+    import zipfile
+
+    from tapeloom.sources import dimensions
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="Odds" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Home</t></si><si><r><t>Ha</t></r><r><t>ll</t></r></si></sst>")
+        cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Avg</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>1.5</v></c></row><row r="3"><c r="B3"><v>2</v></c></row><row r="4"/>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
+    at = f"file://{tmp_path}/b.xlsx"
+    assert [(r.row, r.cells) for r in dimensions.sheet_rows(spark, at, "Odds").orderBy("row").collect()] == [(2, {"Home": "Hall", "Avg": "1.5"}), (3, {"Avg": "2"})]
+    assert [r.row for r in dimensions.sheet_rows(spark, at, "Odds", ("Home",)).collect()] == [2]
+    with pytest.raises(Exception, match="no columns"):
+        dimensions.sheet_rows(spark, at, "Odds", ("Away",)).collect()
+
+
+def test_settings_by_indentation(spark, tmp_path):
+    from tapeloom.sources import dimensions
+
+    (tmp_path / "s.yaml").write_text('# stations\ncities:\n  GALT:\n    station: "KGAL"  # verified\n    series:\n      - KXHIGHGALT\n      - \'KXLOWGALT\'\n  SAND:\n    station: KSAN\nfamilies:\n  - name: final\n    rank: 2\n  - name: semi\n    rank: 1\n')
+    got = [(tuple(r.keys), r.place, r.value) for r in dimensions.settings(spark, f"file://{tmp_path}/s.yaml").collect()]
+    assert got == [
+        (("cities", "GALT", "station"), None, "KGAL"), (("cities", "GALT", "series"), 1, "KXHIGHGALT"), (("cities", "GALT", "series"), 2, "KXLOWGALT"), (("cities", "SAND", "station"), None, "KSAN"),
+        (("families", "name"), 1, "final"), (("families", "rank"), 1, "2"), (("families", "name"), 2, "semi"), (("families", "rank"), 2, "1"),
+    ]
+    assert dimensions.settings(spark, f"file://{tmp_path}/none.yaml").count() == 0
