@@ -30,13 +30,11 @@ def versions(facts: DataFrame, events: DataFrame, block_micros: int = BLOCK_MICR
     changes = known.groupBy("entity", F.greatest("event_us", "as_of_us").alias("t")).agg(best.alias("best"))
     points = events.where("entity is not null and t is not null").select("entity", "t").distinct()
     rows = changes.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    rows = rows.withColumn("block", floor_div(F.col("t"), block_micros))
+    rows = written(rows.withColumn("block", floor_div(F.col("t"), block_micros)), "instants")  # narrow, and read twice
 
     before = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = changes.groupBy("entity", floor_div(F.col("t"), block_micros).alias("block")).agg(F.max("best").alias("best"))
-    # Blocks that hold only events need a row, too, to be given what came before them.
-    per_block = per_block.unionByName(points.select("entity", floor_div(F.col("t"), block_micros).alias("block")).distinct().withColumn("best", F.lit(None).cast(per_block.schema["best"].dataType)))
-    per_block = per_block.groupBy("entity", "block").agg(F.max("best").alias("best"))
+    # Blocks that hold only events have a row, too, to be given what came before them.
+    per_block = rows.groupBy("entity", "block").agg(F.max("best").alias("best"))
     carried = per_block.select("entity", "block", F.max("best").over(before).alias("carry"))
 
     inside = Window.partitionBy("entity", "block").orderBy("t", "kind")
