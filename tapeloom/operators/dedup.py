@@ -22,7 +22,7 @@ BITMAPS = "shard int, bucket bigint, bits binary"
 FOLD_AT = 16
 SHARDS = 64
 #: Consecutive slices of arrivals that :func:`repeated` hands to its store one after another.
-SLICES = 4
+SLICES = 2
 
 
 def _bit(bits: Column, position: Column) -> Column:
