@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,14 @@ GAPS = "market string, t bigint, expected bigint, got bigint, missed bigint"
 
 def _track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Last number of one market: a snapshot starts anew, another number than the next is a gap."""
-    last = state.get[0] if state.exists else None
     rows = pd.concat(list(batches)).sort_values(["t", "seq"], kind="stable")  # one market's share of a micro-batch
-    out = []
-    for t, seq, snap in zip(rows["t"], rows["seq"], rows["is_snapshot"]):
-        if last is not None and not snap and seq != last + 1:
-            out.append((key[0], t, last + 1, seq, seq - last - 1))
-        last = int(seq)
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["market", "t", "expected", "got", "missed"])
+    seq = rows["seq"].to_numpy(np.int64)
+    known = np.append([state.exists], np.ones(len(seq) - 1, bool))
+    before = np.append([state.get[0] if state.exists else 0], seq[:-1])
+    gap = known & ~rows["is_snapshot"].to_numpy(bool) & (seq != before + 1)
+    state.update((int(seq[-1]),))
+    if gap.any():
+        yield pd.DataFrame({"market": key[0], "t": rows["t"].to_numpy()[gap], "expected": before[gap] + 1, "got": seq[gap], "missed": (seq - before - 1)[gap]})
 
 
 def sequence_gaps(frames: DataFrame) -> DataFrame:
