@@ -145,14 +145,16 @@ def heavy_entities(right: DataFrame, shards: int, share: float = HEAVY_SHARE) ->
     return {r.entity: max(2, min(shards, round(2 * r.part * shards))) for r in found}
 
 
-def _in_order(spark: SparkSession, folder: str) -> None:
-    """Date the files of a folder by their names, so that a stream reads them in that order."""
+def _in_order(spark: SparkSession, folder: str) -> bool:
+    """Date the files of a folder by their names, so that a stream reads them in that order; False where the file system keeps its own times."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
-    for k, p in enumerate(files):
-        fs.setTimes(p, 1_000_000_000_000 + 1000 * k, -1)
+    want = [1_000_000_000_000 + 1000 * k for k in range(len(files))]
+    for p, at in zip(files, want):
+        fs.setTimes(p, at, -1)
+    return [fs.getFileStatus(p).getModificationTime() for p in files] == want
 
 
 def replay(left: DataFrame, right: DataFrame, tolerance_us: int, file_rows: int = FILE_ROWS, files: int | None = None) -> DataFrame:
@@ -173,12 +175,15 @@ def replay(left: DataFrame, right: DataFrame, tolerance_us: int, file_rows: int
     rows = keyed(left, right, shards, heavy_entities(right, shards))
     closing = spark.createDataFrame([(0, 0, 0, LAST_US, -1, True)], ROWS)
     rows.unionByName(closing).repartitionByRange(n // file_rows + 1, "t").write.parquet(f"{work}/rows")
-    _in_order(spark, f"{work}/rows")
+    ordered = _in_order(spark, f"{work}/rows")
     before = {name: spark.conf.get(name, None) for name in SETTINGS}
     for name, value in SETTINGS.items():
         spark.conf.set(name, value or str(shards))
     try:
-        staged = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files or CORE_FILES * spark.sparkContext.defaultParallelism).parquet(f"{work}/rows")
+        reader = spark.readStream.schema(ROWS)
+        if ordered:  # else all files make one micro-batch, for no row may come behind the watermark
+            reader = reader.option("maxFilesPerTrigger", files or CORE_FILES * spark.sparkContext.defaultParallelism)
+        staged = reader.parquet(f"{work}/rows")
         run = paired(staged, tolerance_us, "1 second").writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{work}/state").option("path", f"{work}/pairs").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
