@@ -122,10 +122,15 @@ def match_events(left: DataFrame, right: DataFrame, within_us: int = WITHIN_US)
 
     def spread(side: DataFrame, name: str, wide: bool) -> DataFrame:
         buckets = F.array(*[cell(F.col("t")) + k for k in ((-1, 0, 1) if wide else (0,))])
-        block = F.array_union(_blocks(F.col("one")), _blocks(F.col("two")))
-        return side.where("t is not null").select(F.col("id").alias(name), F.explode(block).alias("block"), buckets.alias("cells")).select(name, "block", F.explode("cells").alias("cell"))
-
-    pairs = spread(left, "left_id", True).join(spread(right, "right_id", False), ["block", "cell"]).select("left_id", "right_id").distinct()
+        words = F.array_union("one", "two")
+        blocks = F.transform(F.array_union(_blocks(F.col("one")), _blocks(F.col("two"))), lambda x: F.struct(x.alias("block"), F.array_contains(words, x).alias("is_word")))
+        return side.where("t is not null").select(F.col("id").alias(name), F.inline(blocks), buckets.alias("cells")).select(name, "block", "is_word", F.explode("cells").alias("cell"))
+
+    # A word meets words and what stands for them; two starts or runs of initials say nothing.
+    lefts, rights = spread(left, "left_id", True), spread(right, "right_id", False)
+    by_left = lefts.where("is_word").drop("is_word").join(rights.drop("is_word"), ["block", "cell"])
+    by_right = lefts.where("not is_word").drop("is_word").join(rights.where("is_word").drop("is_word"), ["block", "cell"])
+    pairs = by_left.select("left_id", "right_id").unionByName(by_right.select("left_id", "right_id")).distinct()
     sides = [s.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("one", "two", "t")]) for s, n, p in ((left, "left_id", "l"), (right, "right_id", "r"))]
     both = pairs.join(sides[0], "left_id").join(sides[1], "right_id").where(F.abs(F.col("l_t") - F.col("r_t")) <= within_us)
 

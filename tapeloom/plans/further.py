@@ -342,7 +342,7 @@ def ticks_of_all_legs(spark, at):
 
 @query(f"""with {SETTLES}, {CAPTURES}, s as (select settle_id, event, t from settles where event is not null and t is not null), c as (select event, t, min(capture_row) as id from captures where event is not null and t is not null group by all),
 j as (select settle_id, c.id as capture_row, c.t - s.t as lag_us from s join c on s.event = c.event and cast(floor(s.t / {DAY}.0) as bigint) = cast(floor(c.t / {DAY}.0) as bigint) qualify row_number() over (partition by settle_id order by abs(c.t - s.t), c.t) = 1)
-select settle_id, capture_row, lag_us, coalesce(case when abs(lag_us) <= 600000000 then 'near' else 'far' end, 'unmatched') as bucket from s left join j using (settle_id)""")
+select settle_id, capture_row, lag_us, case when lag_us is null then 'unmatched' when abs(lag_us) <= 600000000 then 'near' else 'far' end as bucket from s left join j using (settle_id)""")
 def nearest_same_day(spark, at):
     """The nearest capture of the same UTC day, however far, with a signed lag; settles without one stay."""
     day = lambda df: df.select(F.concat_ws("|", "event", floor_div(F.col("t"), DAY)).alias("k"), "t", "id")
