@@ -145,17 +145,18 @@ def consistent_rows(values: DataFrame, schemas: DataFrame, changes: DataFrame, t
     files = schemas.select("stream", "file_no", "file_name").distinct()
     names = files.join(spans, "stream").where("file_no >= since and file_no < until").groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("root", "name"))).alias("names"))
     rows = values.join(names, "file_name", "left")
+    # In steps, each of which is computed once: the values under both names, the one that counts, its cast.
     known = lambda v: v.isNotNull() & ~F.is_variant_null(v)
-    own = lambda f: F.try_element_at("fields", F.lit(f))
-    alias = lambda f: F.try_element_at("names", F.lit(f))
-    other = lambda f: F.try_element_at("fields", alias(f))
-    by_alias = {f: ~F.coalesce(known(own(f)), F.lit(False)) & other(f).isNotNull() for f in target}
-    cell = {f: F.when(by_alias[f], other(f)).otherwise(own(f)) for f in target}
-    typed = {f: F.try_variant_get(cell[f], "$", kind) for f, kind in target.items()}
-    bad = {f: F.coalesce(typed[f].isNull() & known(cell[f]), F.lit(False)) for f in target}
-    failed = F.array_compact(F.array(*[F.when(bad[f], F.lit(f)) for f in target]))
-    read = F.array_compact(F.array(*[F.when(~bad[f], F.when(by_alias[f], alias(f)).otherwise(F.lit(f))) for f in target]))
-    rows = rows.select("file_name", "line_no", "line_id", "fields", *[c.alias(f"__{f}") for f, c in typed.items()], read.alias("__read"), failed.alias("failed"))
+    line = ["file_name", "line_no", "line_id", "fields"]
+    rows = rows.select(*line, "names", *[F.try_element_at("fields", F.lit(f)).alias(f"own_{f}") for f in target], *[F.when(F.col("names").isNotNull(), F.try_element_at("names", F.lit(f))).alias(f"name_{f}") for f in target])
+    rows = rows.select(*line, *[f"own_{f}" for f in target], *[f"name_{f}" for f in target], *[F.when(F.col(f"name_{f}").isNotNull(), F.try_element_at("fields", f"name_{f}")).alias(f"other_{f}") for f in target])
+    taken = {f: F.col(f"other_{f}").isNotNull() & ~F.coalesce(known(F.col(f"own_{f}")), F.lit(False)) for f in target}
+    rows = rows.select(*line, *[F.when(c, F.col(f"other_{f}")).otherwise(F.col(f"own_{f}")).alias(f"cell_{f}") for f, c in taken.items()], *[F.when(c, F.col(f"name_{f}")).otherwise(F.lit(f)).alias(f"from_{f}") for f, c in taken.items()])
+    rows = rows.select(*line, *[f"cell_{f}" for f in target], *[f"from_{f}" for f in target], *[F.try_variant_get(f"cell_{f}", "$", kind).alias(f"__{f}") for f, kind in target.items()])
+    bad = {f: F.coalesce(F.col(f"__{f}").isNull() & known(F.col(f"cell_{f}")), F.lit(False)) for f in target}
+    failed = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in bad.items()]))
+    read = F.array_compact(F.array(*[F.when(~c, F.col(f"from_{f}")) for f, c in bad.items()]))
+    rows = rows.select(*line, *[f"__{f}" for f in target], read.alias("__read"), failed.alias("failed"))
     rest = F.transform_values(F.map_filter("fields", lambda k, v: ~F.array_contains("__read", k)), lambda k, v: F.to_json(v))
     return rows.select("file_name", "line_no", "line_id", *[F.col(f"__{f}").alias(f) for f in target], rest.alias("rest"), "failed")
 
