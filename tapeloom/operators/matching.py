@@ -112,44 +112,46 @@ def _blocks(words: Column) -> Column:
 def match_events(left: DataFrame, right: DataFrame, within_us: int = WITHIN_US) -> DataFrame:
     """Each event of ``left`` with the one of ``right`` of the same time and teams: (left_id, right_id, score, status).
 
-    Both are (id, one, two, t), teams as :func:`team_words`. Of the events within ``within_us``,
-    the score is the better sum over both orientations in which each side reaches LEAST_SIDE;
-    below LEAST_TOTAL there is no match, and one that leads the next by less than MARGIN is
-    ambiguous. Nothing is crossed: candidates share a time bucket and a word, its start or a run
-    of initials. Ties are ambiguous by the margin; rows without time match nothing but stay.
+    Both are (id, one, two, t), teams as :func:`team_words`, ids unique. Of the events within
+    ``within_us``, the score is the better sum over both orientations in which each side reaches
+    LEAST_SIDE; below LEAST_TOTAL there is no match, and one that leads the next by less than
+    MARGIN is ambiguous. Nothing is crossed: events of the same teams and time are one, with their
+    number; names are scored once a time bucket, if they share a word, its start or a run of
+    initials; events meet by both names. Ties are ambiguous by the margin; rows without time match
+    nothing but stay.
     """
-    cell = lambda t: F.floor(t / within_us)
-
-    def spread(side: DataFrame, name: str, wide: bool) -> DataFrame:
-        buckets = F.array(*[cell(F.col("t")) + k for k in ((-1, 0, 1) if wide else (0,))])
-        words = F.array_union("one", "two")
-        blocks = F.transform(F.array_union(_blocks(F.col("one")), _blocks(F.col("two"))), lambda x: F.struct(x.alias("block"), F.array_contains(words, x).alias("is_word")))
-        return side.where("t is not null").select(F.col("id").alias(name), F.inline(blocks), buckets.alias("cells")).select(name, "block", "is_word", F.explode("cells").alias("cell"))
-
-    # A word meets words and what stands for them; two starts or runs of initials say nothing.
-    lefts, rights = spread(left, "left_id", True), spread(right, "right_id", False)
-    by_left = lefts.where("is_word").drop("is_word").join(rights.drop("is_word"), ["block", "cell"])
-    by_right = lefts.where("not is_word").drop("is_word").join(rights.where("is_word").drop("is_word"), ["block", "cell"])
-    pairs = by_left.select("left_id", "right_id").unionByName(by_right.select("left_id", "right_id")).distinct()
-    sides = [s.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("one", "two", "t")]) for s, n, p in ((left, "left_id", "l"), (right, "right_id", "r"))]
-    both = pairs.join(sides[0], "left_id").join(sides[1], "right_id").where(F.abs(F.col("l_t") - F.col("r_t")) <= within_us)
-
-    def total(x: str, y: str) -> Column:
-        a, b = team_score(F.col("l_one"), F.col(x)), team_score(F.col("l_two"), F.col(y))
-        return F.when(F.least(a, b) >= LEAST_SIDE, a + b).otherwise(0.0)
+    from tapeloom.session import written
 
-    scored = both.select("left_id", "right_id", F.greatest(total("r_one", "r_two"), total("r_two", "r_one")).alias("score")).where(F.col("score") >= LEAST_TOTAL)
-    return _decided(left, scored, MARGIN)
+    cell = F.floor(F.col("t") / within_us)
+    event = ["one", "two", "t"]
+    whole = " and ".join(f"{c} is not null" for c in event)
+    lefts = left.where(whole).select(*event).distinct().withColumn("cell", F.explode(F.array(*[cell + k for k in (-1, 0, 1)])))
+    rights = right.where(whole).groupBy(*event).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("right_id")).withColumn("cell", cell)
 
+    def spread(side: DataFrame, name: str) -> DataFrame:
+        names = side.select(F.explode(F.array("one", "two")).alias(name), "cell").distinct()
+        return names.select(name, "cell", F.inline(F.transform(_blocks(F.col(name)), lambda x: F.struct(x.alias("block"), F.array_contains(name, x).alias("is_word")))))
 
-def _decided(left: DataFrame, scored: DataFrame, margin: float) -> DataFrame:
-    """The best scored right row of each left row, if it leads the next one by ``margin``."""
-    top = scored.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("b"))
-    rest = scored.join(top, "left_id").where(F.col("right_id") != -F.col("b.r")).groupBy("left_id").agg(F.max("score").alias("second"))
-    out = left.select(F.col("id").alias("left_id")).join(top, "left_id", "left").join(rest, "left_id", "left")
-    clear = F.col("second").isNull() | (F.col("b.score") - F.col("second") >= margin)
+    # A word meets words and what stands for them; two starts or runs of initials say nothing.
+    a, b = spread(lefts, "a"), spread(rights, "b")
+    by_left = a.where("is_word").drop("is_word").join(b.drop("is_word"), ["block", "cell"])
+    by_right = a.where("not is_word").drop("is_word").join(b.where("is_word").drop("is_word"), ["block", "cell"])
+    pairs = by_left.select("a", "b", "cell").unionByName(by_right.select("a", "b", "cell")).distinct()
+    alike = written(pairs.withColumn("s", team_score(F.col("a"), F.col("b"))).where(F.col("s") >= LEAST_SIDE), "names")
+
+    # An event of the left knows what its second name may be called, one of the right what either of its names may be called.
+    asks = lefts.join(alike.select(F.col("a").alias("two"), F.col("b").alias("r_two"), "cell", F.col("s").alias("s_two")), ["two", "cell"])
+    turned = [rights.select(F.col(x).alias("b"), F.col(y).alias("r_two"), "cell", F.col("t").alias("r_t"), "n", "right_id") for x, y in (("one", "two"), ("two", "one"))]
+    has = turned[0].unionByName(turned[1]).join(alike.select(F.col("a").alias("one"), "b", "cell", F.col("s").alias("s_one")), ["b", "cell"]).drop("b")
+    both = asks.join(has, ["one", "r_two", "cell"]).where(F.abs(F.col("t") - F.col("r_t")) <= within_us).withColumn("score", F.col("s_one") + F.col("s_two")).where(F.col("score") >= LEAST_TOTAL)
+
+    scored = both.repartition(*event).groupBy(*event, "right_id").agg(F.max("score").alias("score"), F.max("n").alias("n"))
+    level = scored.groupBy(*event, "score").agg(F.sum("n").alias("n"), F.min("right_id").alias("right_id"))
+    top = level.groupBy(*event).agg(F.max(F.struct("score", "n", "right_id")).alias("b"), F.get(F.sort_array(F.collect_list("score"), False), F.lit(1)).alias("second"))
+    out = left.select(F.col("id").alias("left_id"), *event).join(top, event, "left")
+    clear = (F.col("b.n") == 1) & (F.col("second").isNull() | (F.col("b.score") - F.col("second") >= MARGIN))
     status = F.when(F.col("b").isNull(), "no_match").when(clear, "matched").otherwise("ambiguous")
-    return out.select("left_id", F.when(status == "matched", -F.col("b.r")).alias("right_id"), F.col("b.score").alias("score"), status.alias("status"))
+    return out.select("left_id", F.when(status == "matched", F.col("b.right_id")).alias("right_id"), F.col("b.score").alias("score"), status.alias("status"))
 
 
 def best_name(name: Column, words: Column, names: Column, name_words: Column) -> Column:

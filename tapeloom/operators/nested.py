@@ -240,10 +240,13 @@ def _number(nodes: Nodes) -> np.ndarray:
     return np.arange(len(nodes.record)) - first
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
     for ids, data, bounds in _records(batches):
         x = structural_index(data, bounds)
         at = np.flatnonzero(x.is_value)
+        if fields is not None:
+            at = at[x.key[at] >= 0]
+            at = at[pc.is_in(x.texts(x.key[at]), pa.array(fields, pa.string())).to_numpy(zero_copy_only=False)]
         number = _number(x)
         up, key = x.parent[at], x.key[at]
         plain = np.isin(x.kind[at], (STRING, SCALAR))
@@ -257,14 +260,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def json_nodes(payloads: DataFrame, row_id: str, payload: str) -> DataFrame:
+def json_nodes(payloads: DataFrame, row_id: str, payload: str, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Every value of every readable payload as a row linked to its parent: (row_id, node, parent, field, place, type, text).
 
     ``node`` numbers the values within a record, ``parent`` is the node around it (null at the
     top), ``field`` its key, ``place`` its place in an array from 1. Unreadable, empty and null
-    payloads give no rows; nesting may be of any depth.
+    payloads give no rows; nesting may be of any depth. With ``fields``, only values under these keys are rows.
     """
-    return payloads.select(row_id, payload).mapInArrow(_nodes, NODES)
+    return payloads.select(row_id, payload).mapInArrow(lambda batches: _nodes(batches, fields), NODES)
 
 
 FLAT = (

@@ -9,6 +9,7 @@ from tapeloom.functions.keys import key, sql_key
 from tapeloom.functions.times import floor_div, iso_micros, micros, sql_iso_micros
 from tapeloom.operators import asof, bootstrap, matching, nested, sequence, sets
 from tapeloom.plans.reference import BOOKS, CAPTURES, DAY, HOUR, SETTLES, books, captures, r6, settles, tt
+from tapeloom.session import written
 from tapeloom.sources import tape
 from tapeloom.sources.tables import table
 
@@ -74,7 +75,7 @@ games as (select *, row_number() over (order by ticker) as id from tok where d !
 
 def _games(spark, at):
     """Games by their ticker: title, both teams, their codes and the day."""
-    nodes = nested.json_nodes(table(spark, at, "game_pair_lines"), "line_id", "payload").where("field in ('event_title', 'event_ticker') and type = 'string'")
+    nodes = nested.json_nodes(table(spark, at, "game_pair_lines"), "line_id", "payload", ("event_title", "event_ticker")).where("type = 'string'")
     e = nodes.groupBy("row_id", "parent").agg(F.max(F.when(F.col("field") == "event_title", F.col("text"))).alias("title"), F.upper(F.max(F.when(F.col("field") == "event_ticker", F.col("text")))).alias("ticker"))
     n = e.where(F.col("ticker").isNotNull() & F.col("title").rlike("^(.+) at (.+)$")).groupBy("ticker").agg(F.min("title").alias("title"))
     g = lambda k: F.regexp_extract("ticker", "-[0-9]{2}[A-Z]{3}([0-9]{2})([A-Z]{3})([A-Z]{3})", k)
@@ -95,13 +96,12 @@ select a.ticker, case when k.second is null or k.score - k.second >= 0.25 then k
 from games a left join k on a.ticker = k.ticker and r = 1""")
 def scored_games(spark, at):
     """Titles of games against the teams' codes in all tickers of a day around: matched, ambiguous or none."""
-    g = _games(spark, at)
-    ids = g.select("ticker", F.xxhash64("ticker").alias("id"), F.abs(F.xxhash64("ticker")).alias("place"), "one", "two", "c1", "c2", (F.col("d").cast("bigint") * DAY).alias("t"))
-    left = ids.select(F.col("place").alias("id"), matching.team_words(F.col("one")).alias("one"), matching.team_words(F.col("two")).alias("two"), "t")
-    right = ids.select(F.col("place").alias("id"), F.array("c1").alias("one"), F.array("c2").alias("two"), "t")
+    teams = [matching.team_words(F.col("one")).alias("one"), matching.team_words(F.col("two")).alias("two")]
+    g = written(_games(spark, at).select("ticker", *teams, F.array("c1").alias("first"), F.array("c2").alias("second"), (F.col("d").cast("bigint") * DAY).alias("t")), "games")
+    left = g.select(F.col("ticker").alias("id"), "one", "two", "t")
+    right = g.select(F.col("ticker").alias("id"), F.col("first").alias("one"), F.col("second").alias("two"), "t")
     out = matching.match_events(left, right, DAY)
-    own, other = ids.select(F.col("place").alias("left_id"), "ticker"), ids.select(F.col("place").alias("right_id"), F.col("ticker").alias("other"))
-    return out.join(own, "left_id").join(other, "right_id", "left").select("ticker", "other", "score", "status")
+    return out.select(F.col("left_id").alias("ticker"), F.col("right_id").alias("other"), "score", "status")
 
 
 @query(rf"""with {_TITLES} select ticker, case when starts_with(one, c1) and not starts_with(one, c2) then 1 when starts_with(one, c2) and not starts_with(one, c1) then 2 end as place_of_one,

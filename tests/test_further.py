@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import threading
 
 import numpy as np
 import oracle
@@ -93,6 +94,47 @@ def test_events_are_matched_by_time_teams_and_margin(spark):
     assert rows(matching.match_events(left.where("false"), right)) == []
 
 
+def _events(spark, d):
+    df = spark.createDataFrame(d, "id string, a string, b string, t bigint")
+    return df.select("id", matching.team_words(F.col("a")).alias("one"), matching.team_words(F.col("b")).alias("two"), "t")
+
+
+def test_events_against_a_loop(spark):
+    names = ["Chicago White Sox", "Chicago WS", "Boston Red Sox", "Boston RS", "Hull City", "Hull", "Leeds", "Leeds United", "Leeds City", "", None]
+    r, half = random.Random(4), 1_800_000_000
+    draw = lambda p, n: [(f"{p}{i:03d}", r.choice(names), r.choice(names), r.choice([None, *range(20)])) for i in range(n)]
+    left, right = draw("l", 150), draw("r", 60) + [("same", "Hull", "Hull", 99), ("sole", "Leeds", "Hull", 99)]
+    left += [("both", "Hull", "Hull", 99), ("turned", "Hull", "Leeds", 99)]
+    want = {}
+    for i, a, b, t in left:
+        found = []
+        for j, c, d, u in right:
+            if all((a, b, c, d)) and t is not None and u is not None and abs(t - u) <= 6:
+                sides = [(score(a, c), score(b, d)), (score(a, d), score(b, c))]
+                found.append((max(sum(x) if min(x) >= 0.3 else 0.0 for x in sides), j))
+        found = sorted((x for x in found if x[0] >= 1.2), reverse=True)
+        clear = len(found) == 1 or len(found) > 1 and found[0][0] - found[1][0] >= 0.25
+        want[i] = (found[0][1] if clear else None, round(found[0][0], 9) if found else None, "matched" if clear else "ambiguous" if found else "no_match")
+    timed = lambda d: [(i, a, b, None if t is None else t * half) for i, a, b, t in d]
+    got = {x.left_id: (x.right_id, x.score and round(x.score, 9), x.status) for x in matching.match_events(_events(spark, timed(left)), _events(spark, timed(right))).collect()}
+    assert got == want
+    assert {x[2] for x in want.values()} == {"matched", "ambiguous", "no_match"} and got["both"][0] == "same"
+
+
+def test_many_events_of_the_same_teams_and_day(spark):
+    """20,000 events of the same teams are not 400 million pairs: two minutes are far more than the match takes."""
+    many = _events(spark, [("", "Barvel", "Dovvel", 0), ("sole", "Leeds", "Hull", 0)]).withColumn("k", F.explode(F.when(F.col("id") == "", F.sequence(F.lit(1), F.lit(20_000))).otherwise(F.array(F.lit(0)))))
+    left = many.select(F.col("k").alias("id"), "one", "two", "t")
+    right = left.withColumns({"one": F.transform("one", lambda x: F.substring(x, 1, 3)), "two": F.transform("two", lambda x: F.substring(x, 1, 3))})
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = matching.match_events(left, right).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("right_id").alias("right_id")).collect()
+    finally:
+        late.cancel()
+    assert {(x.status, x.n, x.right_id) for x in got} == {("ambiguous", 20_000, None), ("matched", 1, 0)}
+
+
 def test_names_of_outcomes(spark):
     df = spark.createDataFrame([("Leeds United", ["Hull", "Leeds", "Draw"]), ("Tie", ["Hull", "Leeds", " Draw"]), ("United", ["Leeds United", "Hull United"]), (None, ["a"]), ("Tie", ["a", "b"])], "n string, o array<string>")
     df = df.withColumn("w", matching.team_words(F.col("n"))).withColumn("ow", F.transform("o", lambda x: F.split(F.lower(x), " ")))
